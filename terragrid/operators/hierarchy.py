@@ -90,9 +90,9 @@ def path_colors(
     shown = distinct.withColumn("_shown", P.truncate(F.col("path"), level)).filter(is_labeled(F.col("path")))
     steps = shown.select("path", "_shown", F.posexplode(P.prefixes(F.col("_shown"))).alias("_depth", "_prefix"))
     known = colors.filter(F.col("hex") != "").select(F.col("path").alias("_prefix"), "hex")
+    # both sides have one row per class, never per pixel
     best = (
-        Dim(known, derived=False)
-        .join(steps, ["_prefix"], spread=["path"])
+        steps.join(known, "_prefix", "left")
         .groupBy("path", "_shown")
         .agg(F.max_by("hex", F.when(F.col("hex").isNotNull(), F.col("_depth"))).alias("hex"))
     )

@@ -16,7 +16,7 @@ from terragrid import schema as S
 from terragrid.functions.ids import is_labeled, is_synthetic
 from terragrid.operators.hierarchy import path_colors
 from terragrid.operators.registry import area_ha, count_pixels
-from terragrid.plans.sizing import Dim, number_rows, salted_join, stage
+from terragrid.plans.sizing import Dim, number_rows, salted_join, stage, staged_rows
 
 # executors get the two helpers below by value and need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -68,8 +68,10 @@ def neighbor_votes(regions: DataFrame, seg: S.SegmentedRaster) -> DataFrame:
     touches = spread.groupBy(
         "region_id", "raster_key", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x")
     ).agg(F.count(F.lit(1)).alias("_t"))
+    # few touched cells are sent to the pixels, which then need no shuffle
     per_cluster = (
-        touches.join(seg.pixels, ["raster_key", "y", "x"])
+        Dim(touches)
+        .join(seg.pixels, ["raster_key", "y", "x"], how="inner", bounded=True)
         .groupBy("region_id", "raster_key", F.col("value").alias("cluster_id"))
         .agg(F.sum("_t").alias("_t"))
     )
@@ -137,7 +139,7 @@ def _contract(edges: DataFrame, key: str) -> DataFrame:
     """
     edges = stage(edges, "edges")
     rounds: list[DataFrame] = []
-    while not edges.isEmpty():
+    while staged_rows(edges):
         h = lambda c: F.xxhash64(F.col(c), F.lit(len(rounds)))  # noqa: B023, E731
         both = edges.select(key, "a", "b").unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy(key, "a").agg(F.min_by("b", h("b")).alias("_n"))
@@ -267,7 +269,7 @@ def _grow_in_windows(seeds: DataFrame, pixels: DataFrame, radius: int, cap: int,
     keys = ["raster_key", "_by", "_bx", "value"]
     cells = pixels.withColumn("_by", block(F.col("y"))).withColumn("_bx", block(F.col("x")))
     asked = Dim(want.select(*keys, "_s").distinct())
-    needed = cells.join(F.broadcast(asked.df), keys) if asked.small else cells.join(asked.df, keys)
+    needed = asked.join(cells, keys, how="inner", bounded=True)
     near = needed.join(want, keys + ["_s"]).filter(
         (F.abs(F.col("y") - F.col("sy")) <= radius) & (F.abs(F.col("x") - F.col("sx")) <= radius)
     )
@@ -284,7 +286,7 @@ def _grow_by_levels(seeds: DataFrame, pixels: DataFrame, cap: int, diagonal: boo
     """
     found = [stage(seeds.select("region_id", "raster_key", "value", F.col("sy").alias("y"), F.col("sx").alias("x"), F.lit(0).alias("rank")), "level")]
     front, seen = found[0], found[0].select("region_id", "y", "x")
-    while not front.isEmpty():
+    while staged_rows(front):
         moved = front.select("region_id", "raster_key", "value", "rank", "y", "x", F.explode(offset_array(diagonal)).alias("_o"))
         pushed = moved.groupBy(
             "region_id", "raster_key", "value", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x")
@@ -312,7 +314,7 @@ def grow_regions(
     grown level by level; every way gives the same order.
     """
     start = seeds.select(F.col("region_id").cast("long").alias("region_id"), "raster_key", "y", "x")
-    here = start.join(pixels, ["raster_key", "y", "x"]).select(
+    here = Dim(start).join(pixels, ["raster_key", "y", "x"], how="inner", bounded=True).select(
         "region_id", "raster_key", "value", F.col("y").alias("sy"), F.col("x").alias("sx")
     )
     here = stage(here, "seeds")
@@ -322,7 +324,7 @@ def grow_regions(
         grown = stage(_grow_in_windows(here, cells, radius, max_pixels, diagonal), "grown")
         done.append(grown.filter("rank >= 0"))
         here = stage(here.join(grown.filter("rank < 0").select("region_id"), "region_id", "left_semi"), "seeds")
-        if here.isEmpty():
+        if not staged_rows(here):
             break
     else:
         done.append(_grow_by_levels(here, cells, max_pixels, diagonal))
@@ -349,7 +351,7 @@ def synthetic_ids(paths: DataFrame, registry: DataFrame) -> DataFrame:
 def fill_region(pixels: DataFrame, region: DataFrame, value: int) -> DataFrame:
     """Write one value into the cells ``(raster_key, y, x)`` of a region."""
     marks = region.select("raster_key", "y", "x", F.lit(True).alias("_in")).distinct()
-    joined = pixels.join(marks, ["raster_key", "y", "x"], "left")
+    joined = Dim(marks).join(pixels, ["raster_key", "y", "x"], bounded=True)
     return joined.select(
         "raster_key", "y", "x", F.when(F.col("_in"), F.lit(value)).otherwise(F.col("value")).alias("value")
     )
@@ -372,7 +374,7 @@ def label_regions(
     labels = paths.join(ids, "path").select("region_id", "seq", "synthetic_id")
     marks = Dim(labels).join(regions.select("region_id", "y", "x"), ["region_id"], how="inner")
     newest = marks.groupBy("y", "x").agg(F.max_by("synthetic_id", "seq").alias("_new"))
-    pixels = synthetic.pixels.join(newest, ["y", "x"], "left").select(
+    pixels = Dim(newest).join(synthetic.pixels, ["y", "x"], bounded=True).select(
         "raster_key", "y", "x", F.coalesce("_new", "value").alias("value")
     )
     added = ids.select("synthetic_id", "path")

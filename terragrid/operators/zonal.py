@@ -71,21 +71,44 @@ def rasterize(features: DataFrame, grid: DataFrame, fill: bool = False) -> DataF
     return cells.join(burnt, ["y", "x"], "left").select("y", "x", F.coalesce("feature_id", F.lit(0)).alias("feature_id"))
 
 
+RUN = 64
+
+
+def attach_features(pixels: DataFrame, feature_pixels: DataFrame) -> DataFrame:
+    """Feature under every pixel, null where there is none.
+
+    A packed row holds the features of ``RUN`` neighbouring pixels.
+    """
+    run = F.floor(F.col("x") / RUN).cast("int")
+    burnt = feature_pixels.filter("feature_id <> 0").select("y", run.alias("_run"), (F.col("x") % RUN).alias("_at"), "feature_id")
+    packed = burnt.groupBy("y", "_run").agg(F.map_from_entries(F.collect_list(F.struct("_at", "feature_id"))).alias("_m"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(RUN - 1)), lambda i: F.col("_m")[i])
+    runs = Dim(packed.select("y", "_run", slots.alias("_ids")), name="runs")
+    if runs.small:
+        met = runs.join(pixels.withColumn("_run", run), ["y", "_run"])
+        return met.select(*pixels.columns, F.get("_ids", F.col("x") % RUN).alias("feature_id"))
+    cells = runs.df.select("y", "_run", F.posexplode("_ids").alias("_at", "feature_id")).filter("feature_id IS NOT NULL")
+    cells = cells.select("y", (F.col("_run") * RUN + F.col("_at")).alias("x"), "feature_id")
+    return pixels.join(cells, ["y", "x"], "left").select(*pixels.columns, "feature_id")
+
+
 def zonal_intersection(pixels: DataFrame, feature_pixels: DataFrame, min_pct: float = MIN_PCT) -> DataFrame:
     """Share of each cluster inside each feature, for all rasters at once.
 
     ``pct`` is of the cluster's valid pixels, inside features or not; ``passes``
-    tells whether it reaches ``min_pct`` before rounding.  Pixels meet on
-    ``(y, x)`` and are counted per (raster, cluster, feature) before the shuffle
-    of the aggregate; totals come from those counts, so a background cluster
-    with most pixels costs no more than any other.
+    tells whether it reaches ``min_pct`` before rounding.
+
+    The burnt pixels are packed into short runs of a row.  If those fit a
+    broadcast, the rasters are not shuffled at all; otherwise both meet on
+    ``(y, x)``.  Pixels are counted per (raster, cluster, feature) before the
+    shuffle of the aggregate, and totals come from those counts, so a background
+    cluster with most pixels costs no more than any other.
     """
     if not 0 <= min_pct <= 100:
         raise ValueError("min_pct must be between 0 and 100")
     valid = pixels.filter(F.col("value") != S.NODATA)
-    burnt = feature_pixels.filter("feature_id <> 0")
     counts = (
-        valid.join(burnt, ["y", "x"], "left")
+        attach_features(valid, feature_pixels)
         .groupBy("raster_key", F.col("value").alias("cluster_id"), "feature_id")
         .agg(F.count(F.lit(1)).alias("pixel_count"))
     )
@@ -166,7 +189,9 @@ def sample_points(points: DataFrame, meta: DataFrame, seg: S.SegmentedRaster) ->
 
     ``points`` has ``point_id, lng, lat``, and ``raster_key`` to look into one raster
     only.  Outside a raster ``x, y, cluster_id``
-    and ``path`` are null.  Points meet pixels by equality on the grid cell.
+    and ``path`` are null.  Distinct cells are looked up first: few of them are sent
+    to the pixels, which then need no shuffle, and a cell under very many points
+    is looked up once.
     """
     grids = meta.select("raster_key", "xmin", "ymax", "pixel_width", "pixel_height", "width", "height")
     if "raster_key" not in points.columns:
@@ -176,8 +201,11 @@ def sample_points(points: DataFrame, meta: DataFrame, seg: S.SegmentedRaster) ->
     placed = Dim(grids, derived=False).join(points, ["raster_key"], how="inner")
     placed = placed.select("point_id", "raster_key", latlng_to_pixel(F.col("lat"), F.col("lng")).alias("_p"))
     placed = placed.select("point_id", "raster_key", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
-    cells = seg.pixels.select("raster_key", "y", "x", F.col("value").alias("cluster_id"))
-    hit = placed.join(cells, ["raster_key", "y", "x"], "left")
+    cells = Dim(placed.filter("x IS NOT NULL").select("raster_key", "y", "x").distinct())
+    found = cells.join(seg.pixels, ["raster_key", "y", "x"], how="inner", bounded=True)
+    hit = Dim(found.select("raster_key", "y", "x", F.col("value").alias("cluster_id"))).join(
+        placed, ["raster_key", "y", "x"], spread=["point_id"]
+    )
     attrs = seg.registry.select("raster_key", "cluster_id", F.col("classification_path").alias("_path"))
     named = Dim(attrs).join(hit, ["raster_key", "cluster_id"])
     path = F.when(F.col("cluster_id").isNotNull(), F.coalesce("_path", F.lit(S.UNLABELED)))

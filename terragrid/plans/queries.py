@@ -1204,7 +1204,7 @@ _PAIRS = """pairs AS (SELECT c.x, c.y FROM inv c JOIN inv p ON p.z = 5 AND p.x =
 
 def _lap_sql(name: str, source: str) -> str:
     return f"""{name}_g AS (SELECT x, y, py, px, CAST(FLOOR((r * 19595 + g * 38470 + b * 7471 + 32768) / 65536) AS INT) AS v FROM {source}),
-      {name} AS (SELECT x, y, VAR_POP(l) AS lap FROM (SELECT c.x, c.y, 4 * c.v - n.v - s.v - w.v - e.v AS l FROM {name}_g c
+      {name} AS (SELECT x, y, (COUNT(*) * SUM(l * l) - SUM(l) * SUM(l)) / (COUNT(*) * COUNT(*)) AS lap FROM (SELECT c.x, c.y, 4 * c.v - n.v - s.v - w.v - e.v AS l FROM {name}_g c
         JOIN {name}_g n ON n.x = c.x AND n.y = c.y AND n.py = c.py - 1 AND n.px = c.px JOIN {name}_g s ON s.x = c.x AND s.y = c.y AND s.py = c.py + 1 AND s.px = c.px
         JOIN {name}_g w ON w.x = c.x AND w.y = c.y AND w.py = c.py AND w.px = c.px - 1 JOIN {name}_g e ON e.x = c.x AND e.y = c.y AND e.py = c.py AND e.px = c.px + 1) GROUP BY 1, 2)"""
 
@@ -1234,11 +1234,11 @@ def _(spark, sf):
 
 
 @query("tile_audit", sql(
-    f"""WITH {_AUDIT} SELECT x, y, ROUND(mae, 6) AS mae, ROUND(lap_child, 4) AS lap_child, ROUND(lap_parent, 4) AS lap_parent,
+    f"""WITH {_AUDIT} SELECT x, y, ROUND(mae, 6) AS mae, lap_child, lap_parent,
         ROUND(detail_ratio, 6) AS detail_ratio, detail_ratio < 3.0 AS suspect FROM audit""", "tp", "inv"))
 def _(spark, sf):
     a = _audit(spark, sf)
-    return a.select("x", "y", F.round("mae", 6).alias("mae"), F.round("lap_child", 4).alias("lap_child"), F.round("lap_parent", 4).alias("lap_parent"),
+    return a.select("x", "y", F.round("mae", 6).alias("mae"), "lap_child", "lap_parent",
                     F.round("detail_ratio", 6).alias("detail_ratio"), "suspect")
 
 

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_MAX_ROWS = 500_000
@@ -22,6 +23,7 @@ SINGLE_TASK_ROWS = 100_000
 SALTS = 32
 
 _local_scratch: dict[str, str] = {}
+_measured: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -37,21 +39,52 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the scratch folder and return the table read back."""
+def _row_bytes(df: DataFrame) -> Column:
+    """Approximate size of a row: text length, JSON length of nested values, 8 otherwise."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = F.coalesce(F.length(F.to_json(F.struct(c.alias("v")))), F.lit(0))
+        else:
+            size = F.lit(8)
+        total = total + size
+    return total.cast("long")
+
+
+def stage(df: DataFrame, name: str = "stage", measure: bool = False) -> DataFrame:
+    """Write ``df`` to the scratch folder and return the table read back.
+
+    The rows, and with ``measure`` the bytes, are counted by the write itself,
+    see :func:`staged_rows` and :func:`is_small`.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    if measure:
+        metrics.append(F.sum(_row_bytes(df)).alias("bytes"))
+    df.observe(seen, *metrics).write.parquet(path)
+    got = seen.get
+    back = spark.read.schema(df.schema).parquet(path)
+    _measured[back] = (got["rows"], (got["bytes"] or 0) if measure else None)
+    return back
+
+
+def staged_rows(df: DataFrame) -> int:
+    """Rows of a staged table, known from its write; other tables are counted."""
+    return _measured[df][0] if df in _measured else df.count()
 
 
-def is_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
-    """Measure ``df``: true when its rows and bytes are safe to broadcast."""
-    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    max_bytes = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
-    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    got = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("long")).alias("b")).first()
-    return got["n"] <= max_rows and (got["b"] or 0) <= max_bytes
+def is_small(df: DataFrame) -> bool:
+    """True when the rows and bytes of ``df`` are safe to broadcast."""
+    rows, size = _measured.get(df, (None, None))
+    if size is None:
+        got = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
+        rows, size = got["n"], got["b"] or 0
+    return rows <= BROADCAST_MAX_ROWS and size <= BROADCAST_MAX_BYTES
 
 
 class Dim:
@@ -62,7 +95,7 @@ class Dim:
     """
 
     def __init__(self, df: DataFrame, derived: bool = True, name: str = "dim"):
-        self.df = stage(df, name) if derived else df
+        self.df = stage(df, name, measure=True) if derived else df
         self.small = is_small(self.df)
 
     def join(self, big: DataFrame, on: Sequence[str], how: str = "left", spread: Sequence[str] | None = None, bounded: bool = False) -> DataFrame:
@@ -106,7 +139,7 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str, start:
     within = list(within)
     staged = stage(df, "number")
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    if staged.count() <= SINGLE_TASK_ROWS:
+    if staged_rows(staged) <= SINGLE_TASK_ROWS:
         w = Window.partitionBy(*within).orderBy(*order)
         return staged.withColumn(name, (F.row_number().over(w) - 1 + start).cast("int"))
     keys = [F.col(c) for c in within] + order
