@@ -92,14 +92,14 @@ def composite(
     Pixels without a label are dropped before it unless they belong to the
     reference raster, which decides where the output is nodata.
     """
-    inputs = stage(composite_inputs(seg.registry, priority), "composite_inputs")
-    ids = stage(composite_ids(seg.registry, priority, inputs), "composite_ids")
+    inputs = composite_inputs(seg.registry, priority)
+    ids = composite_ids(seg.registry, priority, inputs)
     if reference is None:
         first = inputs.filter("prio = 1").first()
         if first is None:
             raise ValueError("no rasters to build a composite from")
         reference = first["raster_key"]
-    lookup = Dim(ids.select("raster_key", F.col("cluster_id").alias("value"), "uid"), derived=False)
+    lookup = Dim(ids.select("raster_key", F.col("cluster_id").alias("value"), "uid"))
     tagged = lookup.join(seg.pixels, ["raster_key", "value"])
     is_ref = F.col("raster_key") == reference
     tagged = tagged.filter(is_ref | F.col("uid").isNotNull()).select(

@@ -218,7 +218,7 @@ def aggregate_by_key(
     groups = clusters.groupBy("raster_key", "_key").agg(
         F.min("_first").alias("_first"), F.sum("_n").alias("pixel_count"), F.min_by(info, at).alias("_info")
     )
-    groups = stage(number_rows(groups, ["_first"], "_id", start=1, within=["raster_key"]), "groups")
+    groups = number_rows(groups, ["_first"], "_id", start=1, within=["raster_key"])
     new_ids = clusters.select("raster_key", F.col("cluster_id").alias("value"), "_key").join(
         groups.select("raster_key", "_key", "_id"), ["raster_key", "_key"]
     )

@@ -300,7 +300,10 @@ def tile_inventory(files: DataFrame, prefer: tuple = MOSAIC_ORDER) -> DataFrame:
 
 
 def read_tile_inventory(spark: SparkSession, folder: str, prefer: tuple = MOSAIC_ORDER) -> DataFrame:
-    """Inventory of a folder; file contents are not read."""
+    """Inventory of a folder; file contents are not read.
+
+    Spark does not list empty files, so an empty tile counts as absent.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "tile_*").load(folder).select("path", "length")
     return tile_inventory(files, prefer)
 
