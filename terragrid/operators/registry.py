@@ -237,30 +237,3 @@ def aggregate_by_key(
         F.col("_key").alias("source_key"),
     )
     return S.SegmentedRaster(pixels, registry, seg.meta)
-
-
-def pixels_from_blocks(blocks: DataFrame, block: int) -> DataFrame:
-    """M1: unpack one row per block (row-major ``values``) into pixels."""
-    i = F.col("_i")
-    return blocks.select("raster_key", "by", "bx", F.posexplode("values").alias("_i", "value")).select(
-        "raster_key",
-        (F.col("by") * block + F.floor(i / block)).cast("int").alias("y"),
-        (F.col("bx") * block + i % block).cast("int").alias("x"),
-        "value",
-    )
-
-
-def blocks_from_pixels(pixels: DataFrame, block: int, nodata: int = S.NODATA) -> DataFrame:
-    """M1: pack pixels into square blocks, absent pixels as nodata.
-
-    A group is one block, so its size is bounded by ``block * block``.
-    """
-    by, bx = F.floor(F.col("y") / block).cast("int"), F.floor(F.col("x") / block).cast("int")
-    at = (F.col("y") % block) * block + F.col("x") % block
-    packed = pixels.groupBy("raster_key", by.alias("by"), bx.alias("bx")).agg(
-        F.map_from_entries(F.collect_list(F.struct(at.cast("int"), F.col("value")))).alias("_m")
-    )
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(block * block - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(nodata))
-    )
-    return packed.select("raster_key", "by", "bx", cells.alias("values"))

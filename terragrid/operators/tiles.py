@@ -86,7 +86,7 @@ def mosaic(tile_pixels: DataFrame, tile_size: int = TILE_SIZE) -> DataFrame:
 
     The extent is one row per zoom level; placing is arithmetic, without a shuffle.
     """
-    ext = Dim(mosaic_extent(tile_pixels.select("z", "x", "y").distinct(), tile_size).select("z", "min_x", "min_y"))
+    ext = Dim(tile_pixels.groupBy("z").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y")))
     bands = [c for c in tile_pixels.columns if c not in ("z", "x", "y", "py", "px")]
     placed = ext.join(tile_pixels, ["z"], how="inner")
     return placed.select(

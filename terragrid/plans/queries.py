@@ -13,7 +13,7 @@ from terragrid.functions import color as C
 from terragrid.functions import geo as G
 from terragrid.functions import ids as I
 from terragrid.functions import paths as P
-from terragrid.operators import cluster, detect, hierarchy, labels, overlay, region, registry, render, resample, tiles, zonal
+from terragrid.operators import blocks, cluster, detect, hierarchy, labels, overlay, region, registry, render, resample, tiles, zonal
 from terragrid.plans import fixtures as fx
 from terragrid.plans.oracles import sql
 from terragrid.plans.sizing import scratch_dir, stage
@@ -257,8 +257,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Pixels through block storage and back; padding cells are dropped by the grid."""
-    packed = registry.blocks_from_pixels(fx.pixels(spark, sf), 16)
-    cells = registry.pixels_from_blocks(packed, 16)
+    packed = blocks.blocks_from_pixels(fx.pixels(spark, sf), 16)
+    cells = blocks.pixels_from_blocks(packed, 16)
     grid = fx.raster_meta(spark, sf).select("raster_key", "width", "height")
     return cells.join(grid, "raster_key").filter("x < width AND y < height").select("raster_key", "y", "x", "value")
 
@@ -636,6 +636,21 @@ def _(spark, sf):
     return overlay.composite(fx.segmented(spark, sf)).pixels
 
 
+@query("composite_blocks", sql("SELECT 'composite_seg' AS raster_key, y, x, value FROM comp", "comp"))
+def _(spark, sf):
+    """The composite on block storage: one row and one shuffled array per block."""
+    seg = fx.segmented(spark, sf)
+    packed = blocks.blocks_from_pixels(seg.pixels, 16)
+    out = blocks.pixels_from_blocks(blocks.composite_blocks(packed, seg.registry), 16)
+    grid = _grid(spark, sf).select("width", "height").first()
+    return out.filter((F.col("x") < grid["width"]) & (F.col("y") < grid["height"]))
+
+
+@query("count_pixels_blocks", sql("SELECT * FROM counts", "counts"))
+def _(spark, sf):
+    return blocks.count_pixels_blocks(blocks.blocks_from_pixels(fx.pixels(spark, sf), 16))
+
+
 @query(
     "composite_lowest_k",
     sql(
@@ -1660,22 +1675,28 @@ def _(spark, sf):
 
 
 @query("intersection_documents", sql(
-    f"""WITH {_Z} SELECT 'feature_to_clusters' AS direction, raster_key, feature_id AS id, STRING_AGG(cluster_id || ':' || pixel_count, ',' ORDER BY pct DESC, cluster_id) AS items FROM z WHERE passes GROUP BY 2, 3
-        UNION ALL SELECT 'cluster_to_features', raster_key, cluster_id, STRING_AGG(feature_id || ':' || pixel_count, ',' ORDER BY pct DESC, feature_id) FROM z GROUP BY 2, 3""", "zonal"))
+    f"""WITH {_Z} SELECT 'feature_to_clusters' AS direction, raster_key, feature_id AS id, 0 AS part, STRING_AGG(cluster_id || ':' || pixel_count, ',' ORDER BY pct DESC, cluster_id) AS items FROM z WHERE passes GROUP BY 2, 3
+        UNION ALL SELECT 'cluster_to_features', raster_key, cluster_id, CAST(FLOOR(feature_id / 65536) AS INT) AS part, STRING_AGG(feature_id || ':' || pixel_count, ',' ORDER BY pct DESC, feature_id) FROM z GROUP BY 2, 3, 4""", "zonal"))
 def _(spark, sf):
     out = tables.intersection_documents(_zonal(spark, sf, 0.1), fx.features(spark, sf), 0.1)
     items = F.transform("items", lambda i: F.concat_ws(":", i["id"].cast("string"), i["pixel_count"].cast("string")))
-    return out.select("direction", "raster_key", "id", F.array_join(items, ",").alias("items"))
+    return out.select("direction", "raster_key", "id", "part", F.array_join(items, ",").alias("items"))
 
 
 @query("intersection_index", sql(f"WITH {_Z} SELECT raster_key, feature_id, cluster_id, pct, pixel_count, passes, 0.1::DOUBLE AS min_pct FROM z", "zonal"))
 def _(spark, sf):
-    """Nested index documents of every raster, scanned back into rows."""
-    docs = tables.intersection_documents(_zonal(spark, sf, 0.1), None, 0.1)
-    items = F.transform("items", lambda i: F.array(i["id"].cast("double"), i["pct"], i["pixel_count"].cast("double")))
-    side = lambda d: F.map_from_entries(F.collect_list(F.when(F.col("direction") == d, F.struct(F.col("id").cast("string"), items)))).alias(d)
-    nested = docs.groupBy("raster_key", "min_intersection_pct").agg(side("feature_to_clusters"), side("cluster_to_features"))
-    index = F.to_json(F.struct(F.col("raster_key").alias("segmentation_key"), F.struct("min_intersection_pct").alias("config"), "feature_to_clusters", "cluster_to_features"))
+    """Nested index documents, one per raster and block of 256 features, scanned back into rows."""
+    z = _zonal(spark, sf, 0.1).withColumn("_block", F.floor(F.col("feature_id") / 256))
+    triple = lambda c: F.array(F.col(c).cast("double"), F.col("pct"), F.col("pixel_count").cast("double"))
+
+    def side(rows, by, other, name):
+        lists = rows.groupBy("raster_key", "_block", by).agg(F.collect_list(triple(other)).alias("_l"))
+        return lists.groupBy("raster_key", "_block").agg(F.map_from_entries(F.collect_list(F.struct(F.col(by).cast("string"), "_l"))).alias(name))
+
+    f2c = side(z.filter("passes"), "feature_id", "cluster_id", "feature_to_clusters")
+    nested = side(z, "cluster_id", "feature_id", "cluster_to_features").join(f2c, ["raster_key", "_block"], "left")
+    config = F.struct(F.lit(0.1).alias("min_intersection_pct")).alias("config")
+    index = F.to_json(F.struct(F.col("raster_key").alias("segmentation_key"), config, "feature_to_clusters", "cluster_to_features"))
     return tables.parse_intersection_documents(nested.select(index.alias("index")))
 
 

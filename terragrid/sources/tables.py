@@ -124,18 +124,25 @@ def read_intersections(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# Fixed value: feature ids of one part of a cluster's list, the range of a 16-bit id.
+PART = 65536
+
+
 def intersection_documents(intersections: DataFrame, features: DataFrame | None, min_pct: float) -> DataFrame:
-    """One JSON line per raster and feature or cluster.
+    """One row per raster and feature or cluster with its list, largest share first.
 
-    Nested documents hold all pairs of a raster in one value; lines keep each
-    list on its own (``direction, id, items``), so no row grows with the raster.
+    A nested document of a whole raster would be one value; rows keep each list on
+    its own (``direction, id, part, items``).  A cluster may touch any number of
+    features: its list is cut by feature id into parts of a 16-bit id range, so
+    no group grows without bound.
     """
     items = lambda other: F.transform(
         F.sort_array(F.collect_list(F.struct(-F.col("pct"), F.col(other).alias("o"), F.col("pct").alias("p"), F.col("pixel_count").alias("n")))),
         lambda s: F.struct(s["o"].alias("id"), s["p"].alias("pct"), s["n"].alias("pixel_count")),
     ).alias("items")
-    to_clusters = intersections.filter("passes").groupBy("raster_key", F.col("feature_id").alias("id")).agg(items("cluster_id"))
-    to_features = intersections.groupBy("raster_key", F.col("cluster_id").alias("id")).agg(items("feature_id"))
+    part = lambda c: F.floor(F.col(c) / PART).cast("int").alias("part")
+    to_clusters = intersections.filter("passes").groupBy("raster_key", F.col("feature_id").alias("id"), part("cluster_id")).agg(items("cluster_id"))
+    to_features = intersections.groupBy("raster_key", F.col("cluster_id").alias("id"), part("feature_id")).agg(items("feature_id"))
     out = to_clusters.withColumn("direction", F.lit("feature_to_clusters")).unionByName(
         to_features.withColumn("direction", F.lit("cluster_to_features"))
     )
