@@ -24,6 +24,17 @@ def is_valid_embedding(e: Column) -> Column:
     return e.isNotNull() & ~F.exists(e, lambda v: v.isNull() | F.isnan(v))
 
 
+def flatten_bands(bands: DataFrame, n_bands: int) -> DataFrame:
+    """A multi-band raster ``(vec_id, band, value)`` as one embedding per pixel.
+
+    Bands count from 0; a band without a value is NaN.  A group has one row per band.
+    """
+    entry = F.map_from_entries(F.collect_list(F.struct("band", "value")))
+    packed = bands.groupBy("vec_id").agg(entry.alias("_m"))
+    value = lambda i: F.coalesce(F.col("_m")[i], F.lit(float("nan"))).cast("float")
+    return packed.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), value).alias("embedding"))
+
+
 def valid_count(embeddings: DataFrame) -> DataFrame:
     """All and valid embeddings."""
     ok = is_valid_embedding(F.col("embedding"))

@@ -69,15 +69,21 @@ def histogram(pixels: DataFrame, bins: int = 256) -> DataFrame:
 
 
 def build_registry(
-    pixels: DataFrame, attributes: DataFrame | None = None, pixel_area_ha: float = S.PIXEL_AREA_HA
+    pixels: DataFrame,
+    attributes: DataFrame | Callable[[Column], tuple[Column, Column]] | None = None,
+    pixel_area_ha: float = S.PIXEL_AREA_HA,
 ) -> DataFrame:
     """A4: one row per cluster that occurs.
 
-    ``attributes`` may hold ``raster_key, cluster_id`` with ``path`` and
-    ``color``; a missing path is "unlabeled".
+    ``attributes`` is a table of ``raster_key, cluster_id`` with ``path`` and
+    ``color``, or a function ``cluster_id -> (path, color)`` of Columns; a missing
+    path is "unlabeled".
     """
     counts = count_pixels(pixels)
-    if attributes is None:
+    if callable(attributes):
+        path, color = attributes(F.col("cluster_id"))
+        path = F.when(is_labeled(path), path).otherwise(F.lit(S.UNLABELED))
+    elif attributes is None:
         path, color = F.lit(S.UNLABELED), F.lit(None).cast("string")
     else:
         counts = counts.join(attributes, ["raster_key", "cluster_id"], "left")

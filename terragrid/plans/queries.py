@@ -145,6 +145,22 @@ def _(spark, sf):
     return registry.filter_clusters(fx.segmented(spark, sf, colored=True), fx.labels(spark, sf)).registry
 
 
+@query(
+    "build_registry_by_function",
+    sql(
+        """SELECT raster_key, cluster_id, pixel_count, CASE WHEN cluster_id % 2 = 0 THEN 'class.c' || cluster_id ELSE 'unlabeled' END AS classification_path,
+             'rgb(' || cluster_id || ', 0, 0)' AS color, CAST(pixel_count * 0.01 AS DECIMAL(18,2)) AS area_ha FROM counts""",
+        "counts",
+    ),
+)
+def _(spark, sf):
+    def attributes(i):
+        path = F.when(i % 2 == 0, F.concat(F.lit("class.c"), i.cast("string")))
+        return path, F.concat(F.lit("rgb("), i.cast("string"), F.lit(", 0, 0)"))
+
+    return registry.build_registry(fx.pixels(spark, sf), attributes)
+
+
 @query("labeled_clusters", sql("SELECT raster_key, cluster_id, path FROM reg WHERE path <> 'unlabeled'", "reg"))
 def _(spark, sf):
     return registry.labeled_clusters(fx.registry(spark, sf))
@@ -1077,6 +1093,17 @@ def _(spark, sf):
     return region.grow_regions(_seeds(spark, sf), fx.pixels(spark, sf)).select("region_id", "y", "x")
 
 
+@query(
+    "grow_regions_capped",
+    _comp_sql("'k10'", True, f""", {_SEED_SQL}
+        SELECT s.region_id, LEAST(COUNT(*), 30) AS pixel_count FROM s JOIN walk h ON s.x < 50 AND h.pos = s.y * 50 + s.x JOIN walk w ON w.root = h.root GROUP BY 1"""),
+)
+def _(spark, sf):
+    """Growth that stops at 30 pixels; the order is tested on small grids."""
+    grown = region.grow_regions(_seeds(spark, sf), fx.pixels(spark, sf), max_pixels=30)
+    return grown.groupBy("region_id").agg(F.count(F.lit(1)).alias("pixel_count"))
+
+
 def _picks(spark, sf):
     """Map points of the seeds, one raster."""
     s = _seeds(spark, sf)
@@ -1426,6 +1453,26 @@ def _(spark, sf):
     return cluster.valid_count(fx.table(spark, sf, "embeddings"))
 
 
+@query("flatten_bands", """SELECT vec_id, CAST(LEN(embedding) AS INT) AS n, vec_id % 10 <> 3 AS is_valid,
+      ROUND(CASE WHEN vec_id % 10 = 3 THEN NULL ELSE CAST(embedding[5] AS DOUBLE) END, 6) AS v4 FROM embeddings""")
+def _(spark, sf):
+    """Embeddings taken apart into bands and put together again; some lose band 4."""
+    e = fx.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("band", "value"))
+    flat = cluster.flatten_bands(e.filter("NOT (vec_id % 10 = 3 AND band = 4)"), 64)
+    ok = cluster.is_valid_embedding(F.col("embedding"))
+    v4 = F.when(ok, F.round(F.col("embedding")[4].cast("double"), 6))
+    return flat.select("vec_id", F.size("embedding").alias("n"), ok.alias("is_valid"), v4.alias("v4"))
+
+
+@query("nearest_centroid_invalid", """SELECT vec_id, vec_id % 10 = 3 AS is_nodata FROM embeddings""")
+def _(spark, sf):
+    """Embeddings with a missing band stay nodata."""
+    e = fx.table(spark, sf, "embeddings")
+    nan = F.transform("embedding", lambda v, i: F.when((F.col("vec_id") % 10 == 3) & (i == 4), F.lit(float("nan"))).otherwise(v).cast("float"))
+    out = cluster.nearest_centroid(e.select("vec_id", nan.alias("embedding")), stage(_centroids(spark, sf), "centroids"))
+    return out.select("vec_id", (F.col("cluster_id") == S.NODATA).alias("is_nodata"))
+
+
 def _centroids(spark, sf):
     e = fx.table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
     means = e.groupBy("label", "i").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("v"))

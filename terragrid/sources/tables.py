@@ -119,6 +119,15 @@ def write_intersections(intersections: DataFrame, path: str) -> None:
     intersections.write.mode("overwrite").partitionBy("raster_key").parquet(path)
 
 
+def write_index_config(rasters: DataFrame, path: str, features_name: str, min_pct: float, generated: str) -> None:
+    """The document next to the index: version, polygons, threshold, raster keys."""
+    keys = rasters.select("raster_key").distinct().agg(F.sort_array(F.collect_list("raster_key")).alias("segmentations"))
+    keys.select(
+        F.lit(1).alias("version"), F.lit(features_name).alias("shapefile"), F.lit(generated).alias("generated"),
+        F.lit(float(min_pct)).alias("min_intersection_pct"), "segmentations",
+    ).write.mode("overwrite").json(path)
+
+
 def read_intersections(spark: SparkSession, path: str) -> DataFrame:
     """The native form."""
     return spark.read.parquet(path)

@@ -174,7 +174,10 @@ def test_intersection_files(spark, tmp_path):
     rows = tables.read_intersection_documents(spark, str(tmp_path)).collect()
     assert {(r["feature_id"], r["pct"], r["pixel_count"], r["passes"]) for r in rows} == {(1, 80.5, 9, True), (2, 3.25, 1, False)}
     tables.write_intersections(tables.read_intersection_documents(spark, str(tmp_path)), str(tmp_path / "native"))
-    assert tables.read_intersections(spark, str(tmp_path / "native")).count() == 2
+    native = tables.read_intersections(spark, str(tmp_path / "native"))
+    assert native.count() == 2
+    tables.write_index_config(native, str(tmp_path / "cfg"), "f.zip", 50, "2024-01-01")
+    assert spark.read.json(str(tmp_path / "cfg")).first()["segmentations"] == ["k5"]
 
 
 def test_feature_file(spark, tmp_path):
