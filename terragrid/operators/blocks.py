@@ -1,8 +1,8 @@
 """Overlays on block storage: ``raster_key, by, bx, values ARRAY<INT>``.
 
 A block row carries four bytes per pixel where a pixel row carries its key with
-every value, so the shuffle of an overlay shrinks about tenfold.  All arrays of
-one table have the same length; cells outside the grid hold nodata.
+every value, so an overlay has less to shuffle.  All arrays of one table have the
+same length; cells outside the grid hold nodata.
 """
 
 from __future__ import annotations
