@@ -31,3 +31,16 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op4_token_records")
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terragrid.llm.records import record_digests, write_records
+
+    return record_digests(write_records(table(spark, sf_dir, "documents"), tokenizer_path()))
