@@ -44,3 +44,11 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terragrid.llm.records import record_digests, write_records
 
     return record_digests(write_records(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terragrid.llm.langid import held_out, identify
+
+    named = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
