@@ -71,3 +71,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+
+
+@query("op1_feistel_pseudonyms")
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terragrid.llm.pii import pseudonymize
+
+    out = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="terragrid-test-key")
+    return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join("pii", ",").alias("kinds"))
