@@ -87,3 +87,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terragrid.llm.lines import remove_repeated_lines
+
+    return remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
