@@ -94,3 +94,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terragrid.llm.lines import remove_repeated_lines
 
     return remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_jaccard_components")
+def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terragrid.llm.jaccard import Join, linked_components
+
+    return linked_components(table(spark, sf_dir, "documents"), Join(shingle=4, percent=85))
