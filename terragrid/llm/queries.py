@@ -101,3 +101,10 @@ def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terragrid.llm.jaccard import Join, linked_components
 
     return linked_components(table(spark, sf_dir, "documents"), Join(shingle=4, percent=85))
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terragrid.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

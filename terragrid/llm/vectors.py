@@ -16,6 +16,8 @@ CHUNK = 2 << 20
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
+_plain = np.ones(256, bool)  # everything but ASCII letters and digits and bytes of other scripts
+_plain[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 _codes = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -46,14 +48,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of ``texts``, in order; ``doc`` is the index of a word's text."""
+    """Words of ``texts``, in order; ``doc`` is the index of a word's text.
 
-    def __init__(self, texts: list[bytes | None], lower: bool = False):
+    With ``plain``, ASCII signs part words as white space does.
+    """
+
+    def __init__(self, texts: list[bytes | None], lower: bool = False, plain: bool = False):
         joined = b"\n".join([t or b"" for t in texts]) + b"\n"
         if lower:
             joined = joined.lower()  # of bytes: A-Z only
         self.data = np.frombuffer(joined, np.uint8)
-        solid = ~_space[self.data]
+        solid = ~(_plain if plain else _space)[self.data]
         edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
         if len(solid) and solid[0]:
             edge = np.concatenate([[0], edge])
