@@ -205,3 +205,9 @@ def identify(docs: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
     model = train(labelled_sample(docs, ~held_out(F.col("doc_id")), most))
     return predict(docs, model)
 
+
+
+def accepted(docs: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a score above the threshold."""
+    name = free_name(docs, "accepted")
+    return identify(docs, most).filter(F.col(name)).select(*[F.col(f"`{c}`") for c in docs.columns])
