@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terragrid.llm.text import free_name
 
@@ -191,7 +192,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names=[*(batch.schema.names[i] for i in rest), *names.values()],
             )
 
-    schema = docs.schema.add(names["lang_pred"], "string").add(names["score"], "double").add(names["accepted"], "boolean")
+    schema = StructType([*docs.schema.fields]).add(names["lang_pred"], "string").add(names["score"], "double").add(names["accepted"], "boolean")
     return inner.mapInArrow(run, schema)
 
 
