@@ -108,7 +108,7 @@ def super_kmers(rows: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     """``bucket, packed``: the runs of all texts outside the hot bins, a row per chunk and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, most=8 << 20):
+        for batch, texts in chunks(batches, most=3 << 20):
             k = SuperKmers(texts)
             cold = np.flatnonzero(~hot[k.bin])
             if not len(cold):

@@ -101,14 +101,18 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches with about ``most`` bytes of text each, and their texts as bytes."""
-    for batch in batches:
-        texts = batch.column(column).cast(pa.large_binary()).to_pylist()
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            own = len(t) if t else 0
-            if i > at and size + own > most:
-                yield batch.slice(at, i - at), texts[at:i]
-                at, size = i, 0
-            size += own
-        if at < len(texts):
-            yield batch.slice(at), texts[at:]
+    for whole in batches:
+        # a first cut by the mean size, so that few texts are held as objects at once
+        step = max(16, int(2 * most * whole.num_rows / max(1, whole.nbytes)))
+        for from_row in range(0, whole.num_rows, step):
+            batch = whole.slice(from_row, step)
+            texts = batch.column(column).cast(pa.large_binary()).to_pylist()
+            at, size = 0, 0
+            for i, t in enumerate(texts):
+                own = len(t) if t else 0
+                if i > at and size + own > most:
+                    yield batch.slice(at, i - at), texts[at:i]
+                    at, size = i, 0
+                size += own
+            if at < len(texts):
+                yield batch.slice(at), texts[at:]
