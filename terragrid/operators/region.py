@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from functools import reduce
 import sys
 
@@ -25,9 +24,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 OFFSETS_8 = ((-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
 OFFSETS_4 = ((0, -1), (-1, 0), (1, 0), (0, 1))
 
+# The size at which capped growth usually stops.
 MAX_REGION = S.SYNTHETIC_START
-# Half widths of the windows in which a seed's region is searched before the
-# level-by-level way takes over.
+# Half widths of the windows in which the first pixels of a capped region are
+# looked for, before the window that holds them for certain.
 WINDOWS = (64, 512)
 
 
@@ -216,118 +216,101 @@ def component_sizes(found: DataFrame) -> DataFrame:
 # --- seeded growth ------------------------------------------------------------------------
 
 
-def _grow_window(pdf: pd.DataFrame, radius: int, cap: int, diagonal: bool) -> pd.DataFrame:
-    """Breadth-first region of one seed among the equal-valued pixels of its window.
+def _ranks_of_region(pdf: pd.DataFrame, radius: int, cap: int, diagonal: bool) -> pd.DataFrame:
+    """The first ``cap`` pixels of one region in breadth-first order, a front at a time.
 
-    ``rank`` is the visiting order.  One row of rank -1 means the search had to
-    leave the window before it ended.
+    The group holds the pixels of the seed's component in its window.  A front
+    is an array of positions in visiting order; its neighbours, in the order
+    (place in the front, offset), become the next front at their first mention.
+    One row of rank -1 says that a front came to the border of the window.
     """
     sy, sx = int(pdf["sy"].iloc[0]), int(pdf["sx"].iloc[0])
     side = 2 * radius + 1
-    free = np.zeros((side, side), dtype=bool)
-    free[pdf["y"].to_numpy() - sy + radius, pdf["x"].to_numpy() - sx + radius] = True
-    seen = np.zeros((side, side), dtype=bool)
-    queue, region = deque([(radius, radius)]), []
-    left_window = False
-    while queue and len(region) < cap:
-        y, x = queue.popleft()
-        if not (0 <= y < side and 0 <= x < side):
-            left_window = True
+    open_ = np.zeros((side + 2) * (side + 2), dtype=bool)  # a rim of closed cells around the window
+    at = lambda y, x: (y - sy + radius + 1) * (side + 2) + (x - sx + radius + 1)
+    open_[at(pdf["y"].to_numpy("int64"), pdf["x"].to_numpy("int64"))] = True
+    steps = np.array([dy * (side + 2) + dx for dx, dy in offsets(diagonal)])
+    front = np.array([at(sy, sx)])
+    open_[front] = False
+    region, n, cut = [front], 1, False
+    while n < cap and len(front):
+        row, col = np.divmod(front, side + 2)
+        if ((row == 1) | (row == side) | (col == 1) | (col == side)).any():
+            cut = True
             break
-        if seen[y, x]:
-            continue
-        seen[y, x] = True
-        if free[y, x]:
-            region.append((y, x))
-            queue.extend((y + dy, x + dx) for dx, dy in offsets(diagonal))
-    if left_window:
-        region = [(radius, radius)]
-    ys, xs = zip(*region)
+        near = (front[:, None] + steps).ravel()
+        near = near[open_[near]]
+        _, first = np.unique(near, return_index=True)
+        front = near[np.sort(first)]
+        open_[front] = False
+        region.append(front)
+        n += len(front)
+    cells = np.concatenate(region)[:1 if cut else cap]
+    y, x = np.divmod(cells, side + 2)
     return pd.DataFrame(
         {
             "region_id": pdf["region_id"].iloc[0], "raster_key": pdf["raster_key"].iloc[0],
-            "y": np.array(ys, "int32") + (sy - radius), "x": np.array(xs, "int32") + (sx - radius),
-            "rank": np.full(1, -1, "int32") if left_window else np.arange(len(region), dtype="int32"),
+            "y": (y - 1 - radius + sy).astype("int32"), "x": (x - 1 - radius + sx).astype("int32"),
+            "rank": np.full(1, -1, "int32") if cut else np.arange(len(cells), dtype="int32"),
         }
-    ).astype({"y": "int32", "x": "int32"})
+    )
 
 
-_GROWN = "region_id long, raster_key string, y int, x int, rank int"
+_RANKED = "region_id long, raster_key string, y int, x int, rank int"
 
 
-def _grow_in_windows(seeds: DataFrame, pixels: DataFrame, radius: int, cap: int, diagonal: bool) -> DataFrame:
-    """One window per seed; a group is bounded by the window's area.
+def _rank_in_windows(seeds: DataFrame, cells: DataFrame, radius: int, cap: int, diagonal: bool) -> DataFrame:
+    """One window per seed, bounded by its area; only pixels of the seed's own component enter it.
 
-    Seeds that crowd one block are spread by a salt; pixels are only kept, and
-    only repeated, for the (block, value, salt) that some seed asks for.
+    Pixels carry their block, so a seed meets the blocks of its window, not the whole component.
     """
     size = 2 * radius
     block = lambda c: F.floor(c / size).cast("int")
     around = lambda c: F.sequence(block(F.col(c) - radius), block(F.col(c) + radius))
     want = seeds.withColumn("_by", F.explode(around("sy"))).withColumn("_bx", F.explode(around("sx")))
-    want = want.withColumn("_s", F.pmod(F.xxhash64("region_id"), F.lit(64)).cast("int"))
-    keys = ["raster_key", "_by", "_bx", "value"]
-    cells = pixels.withColumn("_by", block(F.col("y"))).withColumn("_bx", block(F.col("x")))
-    asked = Dim(want.select(*keys, "_s").distinct())
-    needed = asked.join(cells, keys, how="inner", bounded=True)
-    near = needed.join(want, keys + ["_s"]).filter(
+    placed = cells.withColumn("_by", block(F.col("y"))).withColumn("_bx", block(F.col("x")))
+    near = placed.join(want, ["raster_key", "node", "_by", "_bx"]).filter(
         (F.abs(F.col("y") - F.col("sy")) <= radius) & (F.abs(F.col("x") - F.col("sx")) <= radius)
     )
     return near.select("region_id", "raster_key", "sy", "sx", "y", "x").groupBy("region_id").applyInPandas(
-        lambda pdf: _grow_window(pdf, radius, cap, diagonal), _GROWN
+        lambda pdf: _ranks_of_region(pdf, radius, cap, diagonal), _RANKED
     )
 
 
-def _grow_by_levels(seeds: DataFrame, pixels: DataFrame, cap: int, diagonal: bool) -> DataFrame:
-    """Exact breadth-first growth, one join per level, for regions too wide for a window.
-
-    A cell is visited at its first place in the queue: the smallest (rank of the
-    pixel that pushed it, offset).
-    """
-    found = [stage(seeds.select("region_id", "raster_key", "value", F.col("sy").alias("y"), F.col("sx").alias("x"), F.lit(0).alias("rank")), "level")]
-    front, seen = found[0], found[0].select("region_id", "y", "x")
-    while staged_rows(front):
-        moved = front.select("region_id", "raster_key", "value", "rank", "y", "x", F.explode(offset_array(diagonal)).alias("_o"))
-        pushed = moved.groupBy(
-            "region_id", "raster_key", "value", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x")
-        ).agg(F.min(F.col("rank").cast("long") * 8 + F.col("_o.i")).alias("_at"))
-        fresh = pushed.join(pixels, ["raster_key", "y", "x", "value"], "left_semi").join(seen, ["region_id", "y", "x"], "left_anti")
-        last = front.groupBy("region_id").agg(F.max("rank").alias("_last"))
-        order = Window.partitionBy("region_id").orderBy("_at")
-        ranked = fresh.withColumn("_rn", F.row_number().over(order)).join(last, "region_id")
-        ranked = ranked.withColumn("rank", (F.col("_last") + F.col("_rn")).cast("int")).filter(F.col("rank") < cap)
-        front = stage(ranked.select("region_id", "raster_key", "value", "y", "x", "rank"), "level")
-        found.append(front)
-        # cells two levels back can not be reached again
-        seen = reduce(DataFrame.unionByName, [f.select("region_id", "y", "x") for f in found[-2:]])
-    return reduce(DataFrame.unionByName, found).select("region_id", "raster_key", "y", "x", "rank")
-
-
 def grow_regions(
-    seeds: DataFrame, pixels: DataFrame, max_pixels: int = MAX_REGION, diagonal: bool = True, windows: tuple = WINDOWS
+    seeds: DataFrame, pixels: DataFrame, max_pixels: int | None = None, diagonal: bool = True, windows: tuple = WINDOWS, block: int = 256
 ) -> DataFrame:
-    """Region of equal value around each seed in breadth-first order.
+    """Region of equal value around each seed: ``region_id, raster_key, y, x, rank``.
 
     ``seeds`` has ``region_id, raster_key, y, x``; a seed outside the raster
-    gives no rows.  Growth stops after ``max_pixels``.  Regions are searched in a
-    window around their seed, then in a wider one, and what is still open is
-    grown level by level; every way gives the same order.
+    gives no rows.  A region is the seed's connected component (G2), found over
+    the classes that hold a seed, so it has no size limit; ``rank`` is null then.
+    With ``max_pixels`` growth stops after that many pixels in breadth-first
+    order, ``rank`` from 0: they are at most that far away, so a window of this
+    radius holds them; smaller windows are tried first.
     """
     start = seeds.select(F.col("region_id").cast("long").alias("region_id"), "raster_key", "y", "x")
-    here = Dim(start).join(pixels, ["raster_key", "y", "x"], how="inner", bounded=True).select(
-        "region_id", "raster_key", "value", F.col("y").alias("sy"), F.col("x").alias("sx")
+    here = stage(Dim(start).join(pixels, ["raster_key", "y", "x"], how="inner", bounded=True).select("region_id", "raster_key", "y", "x", "value"), "seeds")
+    classes = Dim(here.select("raster_key", "value").distinct(), derived=False)
+    asked = classes.join(pixels.select("raster_key", "y", "x", "value"), ["raster_key", "value"], how="left_semi")
+    found = stage(_components(asked.select("raster_key", "y", "x", "value"), diagonal, block), "components")
+    of_seed = here.join(found, ["raster_key", "y", "x", "value"]).select(
+        "region_id", "raster_key", "node", F.col("y").alias("sy"), F.col("x").alias("sx")
     )
-    here = stage(here, "seeds")
-    cells = pixels.select("raster_key", "y", "x", "value")
-    done = []
-    for radius in windows:
-        grown = stage(_grow_in_windows(here, cells, radius, max_pixels, diagonal), "grown")
-        done.append(grown.filter("rank >= 0"))
-        here = stage(here.join(grown.filter("rank < 0").select("region_id"), "region_id", "left_semi"), "seeds")
-        if not staged_rows(here):
+    of_seed = stage(of_seed, "seeds")
+    if max_pixels is None:
+        # a component may be wanted by many seeds and hold most pixels: small seeds are sent to the pixels, else salted
+        out = Dim(of_seed, derived=False).join(found, ["raster_key", "node"], how="inner", spread=["y", "x"])
+        return out.select("region_id", "raster_key", "y", "x", F.lit(None).cast("int").alias("rank"))
+    nodes = Dim(of_seed.select("raster_key", "node").distinct(), derived=False)
+    cells = nodes.join(found, ["raster_key", "node"], how="left_semi").select("raster_key", "node", "y", "x")
+    done, left = [], of_seed
+    for radius in [w for w in windows if w < max_pixels] + [max_pixels]:
+        ranked = stage(_rank_in_windows(left, cells, radius, max_pixels, diagonal), "ranked")
+        done.append(ranked.filter("rank >= 0"))
+        left = stage(left.join(ranked.filter("rank < 0").select("region_id"), "region_id", "left_semi"), "seeds")
+        if not staged_rows(left):
             break
-    else:
-        done.append(_grow_by_levels(here, cells, max_pixels, diagonal))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -345,7 +328,9 @@ def synthetic_ids(paths: DataFrame, registry: DataFrame) -> DataFrame:
     top = registry.agg(F.max(F.when(is_synthetic(F.col("cluster_id")), F.col("cluster_id"))).alias("m")).first()["m"]
     start = S.SYNTHETIC_START if top is None else top + 1
     new = number_rows(firsts.join(used, "path", "left_anti"), ["_seq", "path"], "synthetic_id", start=start)
-    return known.unionByName(new.select("path", "synthetic_id"))
+    full = F.raise_error(F.lit(f"no synthetic id is left below {S.FINE_GRAIN_START}")).cast("int")
+    checked = F.when(F.col("synthetic_id") < S.FINE_GRAIN_START, F.col("synthetic_id")).otherwise(full)
+    return known.unionByName(new.select("path", checked.alias("synthetic_id")))
 
 
 def fill_region(pixels: DataFrame, region: DataFrame, value: int) -> DataFrame:
@@ -399,7 +384,7 @@ def label_regions(
 
 
 def pick_regions(
-    points: DataFrame, meta: DataFrame, seg: S.SegmentedRaster, max_pixels: int = MAX_REGION
+    points: DataFrame, meta: DataFrame, seg: S.SegmentedRaster, max_pixels: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Points -> unlabelled pixels (F8) -> regions -> sizes and suggestions.
 

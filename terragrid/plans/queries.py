@@ -1006,14 +1006,14 @@ _OFF = "off8 AS (SELECT UNNEST([-1, 0, 1]) AS dy), off AS (SELECT a.dy, b.dy AS
     "neighbors",
     sql(
         """SELECT p.raster_key, p.y, p.x, n.y AS ny, n.x AS nx, n.value AS neighbor_value FROM pixels p
-           JOIN (SELECT -1 AS dx, 0 AS dy UNION ALL SELECT 1, 0 UNION ALL SELECT 0, -1 UNION ALL SELECT 0, 1) o ON TRUE
-           JOIN pixels n ON n.raster_key = p.raster_key AND n.y = p.y + o.dy AND n.x = p.x + o.dx WHERE p.raster_key = 'k10'""",
+           JOIN (SELECT a.d AS dy, b.d AS dx FROM (SELECT UNNEST([-1, 0, 1]) AS d) a, (SELECT UNNEST([-1, 0, 1]) AS d) b WHERE a.d <> 0 OR b.d <> 0) o ON TRUE
+           JOIN pixels n ON n.raster_key = p.raster_key AND n.y = p.y + o.dy AND n.x = p.x + o.dx""",
         "pixels",
     ),
 )
 def _(spark, sf):
-    px = fx.pixels(spark, sf).filter("raster_key = 'k10'")
-    return region.neighbors(px.select("raster_key", "y", "x"), px, diagonal=False).drop("offset")
+    px = fx.pixels(spark, sf)
+    return region.neighbors(px.select("raster_key", "y", "x"), px, diagonal=True).drop("offset")
 
 
 def _feature_regions(spark, sf):
@@ -1073,21 +1073,22 @@ def _(spark, sf):
 
 
 def _seeds(spark, sf):
-    """One seed per supplier, spread over the grid and a little beyond it."""
+    """One seed per supplier, spread over the three rasters and a little beyond them."""
     s = F.col("s_suppkey")
+    key = F.element_at(F.array(F.lit("k5"), F.lit("k10"), F.lit("k20")), (s % 3 + 1).cast("int"))
     return fx.table(spark, sf, "supplier").select(
-        s.alias("region_id"), F.lit("k10").alias("raster_key"), (s * 3).cast("int").alias("y"), ((s * 7) % 53).cast("int").alias("x")
+        s.alias("region_id"), key.alias("raster_key"), (s * 3).cast("int").alias("y"), ((s * 7) % 53).cast("int").alias("x")
     )
 
 
-_SEED_SQL = "s AS (SELECT s_suppkey AS region_id, s_suppkey * 3 AS y, (s_suppkey * 7) % 53 AS x FROM supplier)"
+_SEED_SQL = "s AS (SELECT s_suppkey AS region_id, ['k5', 'k10', 'k20'][s_suppkey % 3 + 1] AS raster_key, s_suppkey * 3 AS y, (s_suppkey * 7) % 53 AS x FROM supplier)"
 
 
 @query(
     "grow_regions",
-    _comp_sql("'k10'", True, f""", {_SEED_SQL}
+    _comp_sql("'k5', 'k10', 'k20'", True, f""", {_SEED_SQL}
         SELECT s.region_id, CAST(FLOOR(w.pos / 50) AS INT) AS y, CAST(w.pos % 50 AS INT) AS x
-        FROM s JOIN walk h ON s.x < 50 AND h.pos = s.y * 50 + s.x JOIN walk w ON w.root = h.root"""),
+        FROM s JOIN walk h ON h.raster_key = s.raster_key AND s.x < 50 AND h.pos = s.y * 50 + s.x JOIN walk w ON w.raster_key = h.raster_key AND w.root = h.root"""),
 )
 def _(spark, sf):
     return region.grow_regions(_seeds(spark, sf), fx.pixels(spark, sf)).select("region_id", "y", "x")
@@ -1095,8 +1096,9 @@ def _(spark, sf):
 
 @query(
     "grow_regions_capped",
-    _comp_sql("'k10'", True, f""", {_SEED_SQL}
-        SELECT s.region_id, LEAST(COUNT(*), 30) AS pixel_count FROM s JOIN walk h ON s.x < 50 AND h.pos = s.y * 50 + s.x JOIN walk w ON w.root = h.root GROUP BY 1"""),
+    _comp_sql("'k5', 'k10', 'k20'", True, f""", {_SEED_SQL}
+        SELECT s.region_id, LEAST(COUNT(*), 30) AS pixel_count FROM s JOIN walk h ON h.raster_key = s.raster_key AND s.x < 50 AND h.pos = s.y * 50 + s.x
+        JOIN walk w ON w.raster_key = h.raster_key AND w.root = h.root GROUP BY 1"""),
 )
 def _(spark, sf):
     """Growth that stops at 30 pixels; the order is tested on small grids."""
@@ -1105,7 +1107,7 @@ def _(spark, sf):
 
 
 def _picks(spark, sf):
-    """Map points of the seeds, one raster."""
+    """Map points of the seeds."""
     s = _seeds(spark, sf)
     return s.select(
         F.col("region_id").alias("point_id"), "raster_key",
@@ -1114,21 +1116,23 @@ def _picks(spark, sf):
 
 
 _PICK_TAIL = f""", {_SEED_SQL},
-    pick AS (SELECT s.region_id, h.root FROM s JOIN walk h ON s.x < 50 AND h.pos = s.y * 50 + s.x JOIN c ON c.pos = h.pos
-             LEFT JOIN reg r ON r.raster_key = 'k10' AND r.cluster_id = c.value WHERE COALESCE(r.path, 'unlabeled') = 'unlabeled'),
-    area AS (SELECT p.region_id, c.y, c.x FROM pick p JOIN walk w ON w.root = p.root JOIN c ON c.pos = w.pos)"""
+    pick AS (SELECT s.region_id, s.raster_key, h.root FROM s JOIN walk h ON h.raster_key = s.raster_key AND s.x < 50 AND h.pos = s.y * 50 + s.x
+             JOIN c ON c.raster_key = h.raster_key AND c.pos = h.pos
+             LEFT JOIN reg r ON r.raster_key = c.raster_key AND r.cluster_id = c.value WHERE COALESCE(r.path, 'unlabeled') = 'unlabeled'),
+    area AS (SELECT p.region_id, p.raster_key, c.y, c.x FROM pick p JOIN walk w ON w.raster_key = p.raster_key AND w.root = p.root
+             JOIN c ON c.raster_key = w.raster_key AND c.pos = w.pos)"""
 
 
-@query("pick_regions", _comp_sql("'k10'", True, _PICK_TAIL + " SELECT region_id, 'k10' AS raster_key, COUNT(*) AS pixel_count FROM area GROUP BY 1", "reg"))
+@query("pick_regions", _comp_sql("'k5', 'k10', 'k20'", True, _PICK_TAIL + " SELECT region_id, raster_key, COUNT(*) AS pixel_count FROM area GROUP BY 1, 2", "reg"))
 def _(spark, sf):
     return region.pick_regions(_picks(spark, sf), fx.raster_meta(spark, sf), fx.segmented(spark, sf))[0]
 
 
 @query(
     "pick_regions_suggestions",
-    _comp_sql("'k10'", True, _PICK_TAIL + f""" SELECT region_id, path, votes, CAST(ROW_NUMBER() OVER (PARTITION BY region_id ORDER BY votes DESC, path) AS INT) AS rank
-        FROM (SELECT a.region_id, r.path, COUNT(*) AS votes FROM area a CROSS JOIN ({_OFFS8}) o JOIN c ON c.y = a.y + o.dy AND c.x = a.x + o.dx
-              JOIN reg r ON r.raster_key = 'k10' AND r.cluster_id = c.value AND r.path <> 'unlabeled' GROUP BY 1, 2)""", "reg"),
+    _comp_sql("'k5', 'k10', 'k20'", True, _PICK_TAIL + f""" SELECT region_id, path, votes, CAST(ROW_NUMBER() OVER (PARTITION BY region_id ORDER BY votes DESC, path) AS INT) AS rank
+        FROM (SELECT a.region_id, r.path, COUNT(*) AS votes FROM area a CROSS JOIN ({_OFFS8}) o JOIN c ON c.raster_key = a.raster_key AND c.y = a.y + o.dy AND c.x = a.x + o.dx
+              JOIN reg r ON r.raster_key = c.raster_key AND r.cluster_id = c.value AND r.path <> 'unlabeled' GROUP BY 1, 2)""", "reg"),
 )
 def _(spark, sf):
     return region.pick_regions(_picks(spark, sf), fx.raster_meta(spark, sf), fx.segmented(spark, sf))[1]

@@ -80,13 +80,30 @@ SEEDS = [(1, 0, 0), (2, 3, 1), (3, 2, 4), (4, 6, 6), (5, 9, 99), (6, 5, 3)]
 def test_growth_order(spark, g, cap, windows):
     seeds = spark.createDataFrame([(i, "k", y, x) for i, x, y in SEEDS], "region_id long, raster_key string, y int, x int")
     for diagonal in (True, False) if cap == 10 else (True,):
-        rows = region.grow_regions(seeds, grid(spark, k=g), cap, diagonal, windows).orderBy("region_id", "rank").collect()
+        rows = region.grow_regions(seeds, grid(spark, k=g), cap, diagonal, windows, block=3).orderBy("region_id", "rank").collect()
         for i, x, y in SEEDS:
             got = [(r["y"], r["x"]) for r in rows if r["region_id"] == i]
             assert got == bfs(g, x, y, cap, diagonal), (i, diagonal)
             assert [r["rank"] for r in rows if r["region_id"] == i] == list(range(len(got)))
 
 
+def test_growth_without_a_cap(spark):
+    side = 160  # 25,600 pixels: more than capped growth usually keeps
+    px = spark.range(side * side).select(
+        F.lit("k").alias("raster_key"), F.floor(F.col("id") / side).cast("int").alias("y"), (F.col("id") % side).cast("int").alias("x"),
+        F.when(F.col("id") == 5, 1).otherwise(0).alias("value"))
+    seeds = spark.createDataFrame([(1, "k", 3, 3), (2, "k", 0, 5), (3, "k", 900, 0)], "region_id long, raster_key string, y int, x int")
+    sizes = {r["region_id"]: r["count"] for r in region.grow_regions(seeds, px, block=64).groupBy("region_id").count().collect()}
+    assert sizes == {1: side * side - 1, 2: 1}
+
+
+def test_synthetic_ids_end_before_the_fine_grain_range(spark):
+    reg = spark.createDataFrame([("synthetic_seg", 49999, "a")], "raster_key string, cluster_id int, classification_path string")
+    paths = spark.createDataFrame([("b", 1)], "path string, seq long")
+    with pytest.raises(Exception, match="no synthetic id is left"):
+        region.synthetic_ids(paths, reg).collect()
+
+
 def test_votes_count_a_neighbour_once_per_region_pixel(spark):
     px = grid(spark, k=[[0, 0, 0], [2, 1, 2]])
     attrs = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "raster_key string, cluster_id int, path string")
