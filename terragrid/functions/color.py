@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Accepted colour spellings and defaults.
 RGB_PATTERN = r"rgb\((\d+),\s*(\d+),\s*(\d+)\)"
-HEX_PATTERN = r"^#?([A-Fa-f0-9]{2})([A-Fa-f0-9]{2})([A-Fa-f0-9]{2})$"
+HEX_PATTERN = r"(?i)^#?([a-f\d]{2})([a-f\d]{2})([a-f\d]{2})$"
 BLACK = "rgba(0, 0, 0, 1)"
 DEFAULT_RGB = "rgb(128, 128, 128)"
 DEFAULT_HEX = "#888888"

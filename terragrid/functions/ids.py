@@ -25,7 +25,7 @@ def is_synthetic(v: Column) -> Column:
 
 
 def is_fine_grain(v: Column) -> Column:
-    return v >= S.FINE_GRAIN_START
+    return (v >= S.FINE_GRAIN_START) & (v < S.COMPOSITE_START)
 
 
 def is_regular(v: Column) -> Column:

@@ -54,7 +54,9 @@ def kmeans_range(
         raise ValueError("k_values must hold numbers of at least 2")
     ok = is_valid_embedding(F.col("embedding"))
     valid = embeddings.filter(ok)
-    drawn = valid.sample(fraction=sample, seed=seed) if sample < 1 else valid
+    # drawn by a hash of the id, so the fit doesn't depend on files or partitions
+    share = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 20)) < int(sample * (1 << 20))
+    drawn = valid.filter(share) if sample < 1 else valid
     train = stage(drawn.select(id_col, "embedding"), "train").select(array_to_vector("embedding").alias("features"))
     scored = embeddings.filter(ok).select(id_col, array_to_vector("embedding").alias("features"))
     centers = []
@@ -111,13 +113,9 @@ def _closest(shared):
         usable = np.array([v is not None for v in e], dtype=bool)
         if usable.any():
             x = np.stack([np.asarray(v, "float64") for v in e[usable]])
-            low = np.full(len(x), np.inf)
-            arg = np.full(len(x), S.NODATA, "int32")
-            for cid, c in zip(ids, centers):
-                d = ((x - c) ** 2).sum(axis=1)
-                closer = d < low
-                low[closer], arg[closer] = d[closer], cid
-            dist[usable], best[usable] = low, arg
+            # |x - c|^2 but for |x|^2, as one product; the distance itself is taken from the winner
+            near = ((centers**2).sum(axis=1) - 2 * (x @ centers.T)).argmin(axis=1)
+            dist[usable], best[usable] = ((x - centers[near]) ** 2).sum(axis=1), ids[near]
         return pd.DataFrame({"dist": dist, "cluster_id": best})
 
     return closest
@@ -141,8 +139,15 @@ def cluster_palette(centroids: DataFrame, families: int, seed: int = 42) -> Data
         raise ValueError("at least two colour families are needed")
     data = stage(centroids.select("raster_key", "cluster_id", "centroid"), "centroids")
     vectors = data.withColumn("features", array_to_vector("centroid"))
-    model = KMeans(k=families, seed=seed, predictionCol="family").fit(vectors)
-    grouped = model.transform(vectors).select("raster_key", "cluster_id", "family")
+    keys = [r[0] for r in data.select("raster_key").distinct().orderBy("raster_key").collect()]  # a row per raster
+    grouped = None
+    for key in keys:
+        own = vectors.filter(F.col("raster_key") == key)
+        model = KMeans(k=families, seed=seed, predictionCol="family").fit(own)
+        found = model.transform(own).select("raster_key", "cluster_id", "family")
+        grouped = found if grouped is None else grouped.unionByName(found)
+    if grouped is None:
+        grouped = data.select("raster_key", "cluster_id", F.lit(0).alias("family"))
     fam = Window.partitionBy("raster_key", "family")
     hue = F.col("family") * F.lit(360.0 / families)
     light = F.lit(0.3) + F.lit(0.4) * (F.row_number().over(fam.orderBy("cluster_id")) - 0.5) / F.count(F.lit(1)).over(fam)

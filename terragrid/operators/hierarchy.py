@@ -20,14 +20,28 @@ def _children(json: Column) -> Column:
     return F.filter(F.coalesce(entries, empty), lambda e: ~e["key"].startswith("_"))
 
 
-def flatten_hierarchy(docs: DataFrame, max_levels: int = 8) -> DataFrame:
+def nesting(json: Column) -> Column:
+    """How deep the objects of a JSON text are nested: braces outside of strings."""
+    braces = F.regexp_replace(F.regexp_replace(json, r'"(?:\\.|[^"\\])*"', ""), "[^{}]", "")
+    step = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def count(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c == "{", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    chars = F.filter(F.split(F.coalesce(braces, F.lit("")), "", -1), lambda c: c != "")
+    return F.aggregate(chars, step, count, lambda acc: acc["most"])
+
+
+def flatten_hierarchy(docs: DataFrame) -> DataFrame:
     """P20: rows of nested hierarchy documents.
 
     ``docs`` has a JSON text column ``hierarchy``; other columns are carried
     along.  Keys that start with ``_`` are attributes.  ``order_key`` sorts the
     rows of one document in pre-order; ``level`` counts from 0.  Every step
     emits a node next to its children, so the plan is one chain of generators
-    without a union; a document nested deeper than ``max_levels`` is an error.
+    without a union.  There are as many steps as the deepest document has levels,
+    which one pass over the documents tells.
     """
     carried = [c for c in docs.columns if c != "hierarchy"]
     node = "struct<path:array<string>,pos:array<int>,json:string,open:boolean>"
@@ -35,7 +49,7 @@ def flatten_hierarchy(docs: DataFrame, max_levels: int = 8) -> DataFrame:
     none_s, none_i = F.array().cast("array<string>"), F.array().cast("array<int>")
     here = docs.select(*carried, make(none_s, none_i, F.col("hierarchy"), F.lit(True)).alias("_n"))
     n = F.col("_n")
-    for _ in range(max_levels):
+    for _ in range(docs.agg(F.max(nesting(F.col("hierarchy")))).first()[0] or 0):
         kids = F.transform(
             _children(n["json"]),
             lambda e, i: make(
@@ -45,14 +59,13 @@ def flatten_hierarchy(docs: DataFrame, max_levels: int = 8) -> DataFrame:
         closed = F.array(make(n["path"], n["pos"], n["json"], F.lit(False)))
         here = here.select(*carried, F.explode(F.when(n["open"], F.concat(closed, kids)).otherwise(closed)).alias("_n"))
     leaf = F.size(_children(n["json"])) == 0
-    too_deep = F.raise_error(F.concat(F.lit("hierarchy deeper than max_levels at "), F.array_join(n["path"], ".")))
     return here.filter(F.size(n["path"]) > 0).select(
         *carried,
         F.array_join(n["path"], ".").alias("path"),
         F.array_join(n["path"], " > ").alias("display_path"),
         (F.size(n["path"]) - 1).alias("level"),
         F.element_at(n["path"], -1).alias("name"),
-        F.when(n["open"] & ~leaf, too_deep.cast("boolean")).otherwise(leaf).alias("is_leaf"),
+        leaf.alias("is_leaf"),
         n["pos"].alias("order_key"),
     )
 
@@ -154,15 +167,17 @@ def _attribute(features: DataFrame, field: str) -> Column:
     return F.btrim(F.col("properties")[field])
 
 
-def _known_fields(features: DataFrame) -> DataFrame:
-    """Field names of the first feature only."""
-    first = features.agg(F.min_by("properties", "feature_id").alias("_p"))
-    return first.select(F.explode(F.map_keys("_p")).alias("field"))
+def _known_fields(features: DataFrame, of_first: bool) -> DataFrame:
+    """Field names of all features, or of the first one only."""
+    rows = features.agg(F.min_by("properties", "feature_id").alias("properties")) if of_first else features
+    return rows.select(F.explode(F.map_keys("properties")).alias("field")).distinct()
 
 
-def field_profile(features: DataFrame, samples: int = 5) -> DataFrame:
+def field_profile(features: DataFrame, samples: int = 5, of_first: bool = False) -> DataFrame:
     """Per attribute the first distinct values, distinct and filled counts.
 
+    ``of_first`` profiles the fields of the first feature only.
+
     Values are counted per (field, value) first, so the sample list only keeps
     ``samples`` rows per field and a frequent value is one row.
     """
@@ -170,7 +185,7 @@ def field_profile(features: DataFrame, samples: int = 5) -> DataFrame:
     per_value = values.groupBy("field", "value").agg(
         F.count(F.lit(1)).alias("_n"), F.min("feature_id").alias("_first")
     )
-    fields = Dim(_known_fields(features))
+    fields = Dim(_known_fields(features, of_first))
     per_value = fields.join(per_value, ["field"], how="left_semi")
     stats = per_value.groupBy("field").agg(
         F.sum("_n").alias("n_values"), F.count(F.lit(1)).alias("n_distinct")

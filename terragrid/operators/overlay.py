@@ -66,7 +66,9 @@ def composite_inputs(registry: DataFrame, priority: str = "highest_k") -> DataFr
 def composite_ids(registry: DataFrame, priority: str = "highest_k", inputs: DataFrame | None = None) -> DataFrame:
     """Ids 1..n of all labelled clusters by (priority, cluster id).
 
-    "most_specific" ranks deeper class paths first, then higher k.
+    "most_specific" ranks deeper class paths first, then higher k.  Ids that
+    would be reserved ones (9999 and above) are moved to ``COMPOSITE_START``
+    and above; they keep the order.
     """
     if priority not in PRIORITIES:
         raise ValueError(f"priority must be one of {PRIORITIES}")
@@ -76,7 +78,8 @@ def composite_ids(registry: DataFrame, priority: str = "highest_k", inputs: Data
     if priority == "most_specific":
         order = [P.depth(F.col("classification_path")).desc()] + order
     labeled = labeled.select("raster_key", "cluster_id", "classification_path", "color", "prio")
-    return number_rows(labeled, order, "uid", start=1)
+    numbered = number_rows(labeled, order, "uid", start=1)
+    return numbered.withColumn("uid", F.when(F.col("uid") < S.UNLABELED_ID, F.col("uid")).otherwise(F.col("uid") + S.COMPOSITE_START))
 
 
 def composite(
@@ -139,10 +142,19 @@ def check_same_grid(meta_a: DataFrame, meta_b: DataFrame) -> None:
 def merge(
     a: DataFrame, b: DataFrame, decide: Callable[[Column, Column, Column, Column], Column], key: str = "merged"
 ) -> DataFrame:
-    """Combine two rasters cell by cell with ``decide(a, b, y, x) -> Column``."""
+    """Combine two rasters cell by cell with ``decide(a, b, y, x) -> Column``.
+
+    Rasters of different extent are refused; a cell that one of them lacks is
+    nodata there.
+    """
+    last = lambda px, name: px.agg(F.struct(F.max("y"), F.max("x")).alias(name))
+    ends = last(a, "a").crossJoin(last(b, "b")).first()  # one row each
+    if tuple(ends["a"]) != tuple(ends["b"]):
+        raise ValueError(f"cannot merge rasters with different dimensions: {tuple(ends['a'])} and {tuple(ends['b'])}")
+    none = F.lit(S.NODATA)
     left = a.select("y", "x", F.col("value").alias("_a"))
     right = b.select("y", "x", F.col("value").alias("_b"))
-    both = left.join(right, ["y", "x"])
+    both = left.join(right, ["y", "x"], "full").withColumns({"_a": F.coalesce("_a", none), "_b": F.coalesce("_b", none)})
     value = decide(F.col("_a"), F.col("_b"), F.col("y"), F.col("x"))
     return both.select(F.lit(key).alias("raster_key"), "y", "x", value.cast("int").alias("value"))
 

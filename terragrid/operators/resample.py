@@ -107,13 +107,16 @@ def reproject(pixels: DataFrame, src: dict, dst: dict, band: str = "v", nodata=N
 def coarsen(pixels: DataFrame, factor: int, method: str = "nearest", nodata: int = S.NODATA) -> DataFrame:
     """One pixel per ``factor`` x ``factor`` block.
 
-    "nearest" takes the pixel under the block's centre: a filter that needs no
-    shuffle.  "mean" averages the valid pixels.
+    "nearest" takes the pixel under the block's centre, at the right and bottom
+    edge under the centre moved into the raster: a filter that needs no shuffle.
+    "mean" averages the valid pixels.
     """
     by, bx = F.floor(F.col("y") / factor).cast("int"), F.floor(F.col("x") / factor).cast("int")
     if method == "nearest":
         mid = factor // 2
-        picked = pixels.filter((F.col("y") % factor == mid) & (F.col("x") % factor == mid))
+        edge = Dim(pixels.groupBy("raster_key").agg(F.max("y").alias("_my"), F.max("x").alias("_mx")))  # a row per raster
+        placed = edge.join(pixels, ["raster_key"], how="inner", spread=["y", "x"])
+        picked = placed.filter((F.col("y") == F.least(by * factor + mid, "_my")) & (F.col("x") == F.least(bx * factor + mid, "_mx")))
         return picked.select("raster_key", by.alias("y"), bx.alias("x"), "value")
     if method != "mean":
         raise ValueError("method must be 'nearest' or 'mean'")

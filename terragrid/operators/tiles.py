@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terragrid.functions.geo import TILE_SIZE, tile_origin, tile_resolution
-from terragrid.plans.sizing import Dim, number_rows, stage
+from terragrid.plans.sizing import Dim, number_rows, stage, staged_rows
 
 # Cubic kernel weights of the four taps of an up-sampled pixel, in 1/128,
 # for even and odd output positions, and the fixed-point bits of the image library.
@@ -177,20 +177,21 @@ def laplacian_variance(pixels: DataFrame, keys: list[str], edge: int, value: str
 
 
 def tile_audit(
-    tile_pixels: DataFrame, z: int, samples: int = 200, threshold: float = THRESHOLD, tile_size: int = TILE_SIZE,
+    tile_pixels: DataFrame, z: int, samples: int | None = None, threshold: float = THRESHOLD, tile_size: int = TILE_SIZE,
     inventory: DataFrame | None = None,
 ) -> DataFrame:
-    """Compare sampled tiles with their up-sampled parents.
+    """Compare tiles with their up-sampled parents: all of them, or an evenly spread sample.
 
     ``tile_pixels`` has ``z, x, y, py, px, r, g, b``; ``tile_size`` must be even.
     Without an ``inventory`` of tiles it is read from the pixels.  Only pixels of
-    sampled tiles and their parents go through the shuffles.  Tiles without a
-    parent are left out (``audit_summary`` counts them from ``parent_tiles``).
+    chosen tiles and their parents go through the shuffles.  Tiles without a
+    parent are left out; ``parent_tiles`` lists them.
     """
     bands = ["r", "g", "b"]
     tile = ["x", "y"]
     inv = stage((tile_pixels if inventory is None else inventory).select("z", "x", "y").distinct(), "inventory")
-    chosen = spread_sample(inv.filter(F.col("z") == z), samples)
+    level = inv.filter(F.col("z") == z)
+    chosen = level if samples is None else spread_sample(level, samples)
     pairs = Dim(parent_tiles(chosen, inv).filter("has_parent").drop("has_parent"))
     child = pairs.join(tile_pixels.filter(F.col("z") == z), ["z", "x", "y"], how="left_semi", bounded=True).select(*tile, "py", "px", *bands)
     half = tile_size // 2
@@ -216,14 +217,24 @@ def tile_audit(
 
 def audit_summary(audit: DataFrame) -> DataFrame:
     """Spread of both measures, suspects, and the verdict (more than 5 % is bad)."""
-    return audit.agg(
+    held = stage(audit, "audit")
+    middle = {c: _median(held, c) for c in ("mae", "detail_ratio")}
+    return held.agg(
         F.count(F.lit(1)).alias("n_tiles"),
-        F.min("mae").alias("mae_min"), F.median("mae").alias("mae_median"), F.max("mae").alias("mae_max"),
-        F.min("detail_ratio").alias("ratio_min"), F.median("detail_ratio").alias("ratio_median"),
+        F.min("mae").alias("mae_min"), F.lit(middle["mae"]).cast("double").alias("mae_median"), F.max("mae").alias("mae_max"),
+        F.min("detail_ratio").alias("ratio_min"), F.lit(middle["detail_ratio"]).cast("double").alias("ratio_median"),
         F.max("detail_ratio").alias("ratio_max"), F.count_if("suspect").alias("n_suspect"),
     ).withColumn("bad", F.col("n_suspect") > F.col("n_tiles") * BAD_SHARE)
 
 
+def _median(rows: DataFrame, column: str) -> float | None:
+    """Exact median by the numbers of the ordered rows; no task holds all values."""
+    some = stage(rows.select(column).filter(F.col(column).isNotNull()), "values")
+    n = staged_rows(some)
+    places = [(n - 1) // 2, n // 2]
+    return number_rows(some, [column], "_rn").filter(F.col("_rn").isin(places)).agg(F.avg(column)).first()[0] if n else None
+
+
 def weakest_tiles(audit: DataFrame, n: int = 5) -> DataFrame:
     """The tiles closest to an interpolated parent."""
     return audit.orderBy("detail_ratio", "x", "y").limit(n)

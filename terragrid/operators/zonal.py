@@ -16,7 +16,7 @@ def polygon_spans(features: DataFrame, grid: DataFrame) -> DataFrame:
     """Runs of pixels whose centres lie inside each polygon.
 
     ``features`` has ``feature_id`` and ``rings`` (arrays of ``struct(lng, lat)``,
-    closed); ``grid`` is one row of raster metadata.  Edges, not polygons, are
+    closed here if they are not; those of fewer than three corners hold no pixel); ``grid`` is one row of raster metadata.  Edges, not polygons, are
     expanded to the pixel rows they cross, so the work of one large polygon
     spreads by row; a group below is one polygon on one row.  Even-odd rule over
     all rings, left edge inside, right edge outside.
@@ -24,6 +24,8 @@ def polygon_spans(features: DataFrame, grid: DataFrame) -> DataFrame:
     g = grid.select("xmin", "ymax", "pixel_width", "pixel_height", "width", "height").first()
     width, height = g["width"], g["height"]
     rings = features.select("feature_id", F.explode("rings").alias("_ring"))
+    closed = F.when(F.col("_ring")[0] == F.element_at("_ring", -1), F.col("_ring")).otherwise(F.concat("_ring", F.slice("_ring", 1, 1)))
+    rings = rings.filter(F.size("_ring") > 2).select("feature_id", closed.alias("_ring")).filter(F.size("_ring") > 3)
     edges = rings.select(
         "feature_id",
         F.explode(

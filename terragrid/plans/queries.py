@@ -1263,8 +1263,8 @@ _AUDIT = f"""{_PAIRS}, kids AS (SELECT t.* FROM tp t JOIN pairs c ON c.x = t.x A
               FROM mae JOIN lc USING (x, y) JOIN lp USING (x, y))"""
 
 
-def _audit(spark, sf, samples=1_000_000):
-    return tiles.tile_audit(stage(fx.tile_pixels(spark, sf), "tiles"), 6, samples=samples, tile_size=fx.TILE)
+def _audit(spark, sf):
+    return tiles.tile_audit(stage(fx.tile_pixels(spark, sf), "tiles"), 6, tile_size=fx.TILE)
 
 
 @query("upsample_quadrant", sql(f"WITH {_PAIRS} SELECT x, y, CAST(py AS INT) AS py, CAST(px AS INT) AS px, r, g, b FROM up", "tp", "inv"))
@@ -1302,6 +1302,11 @@ def _(spark, sf):
     return tiles.weakest_tiles(_audit(spark, sf)).select("x", "y", F.round("detail_ratio", 6).alias("detail_ratio"))
 
 
+@query("suspect_tiles", sql(f"WITH {_AUDIT} SELECT x, y, ROUND(mae, 6) AS mae FROM audit WHERE detail_ratio < 3.0 ORDER BY x, y LIMIT 12", "tp", "inv"))
+def _(spark, sf):
+    return tiles.suspect_tiles(_audit(spark, sf)).select("x", "y", F.round("mae", 6).alias("mae"))
+
+
 _FILES_SQL = """(SELECT CAST(10 + o_orderkey % 3 AS INT) AS z, CAST(FLOOR(o_orderkey / 100) AS INT) AS x, CAST(o_orderkey % 100 AS INT) AS y,
     CASE WHEN o_custkey % 2 = 0 THEN 'jpg' ELSE 'png' END AS ext, CASE WHEN o_custkey % 7 = 0 THEN 0 ELSE o_custkey END AS size FROM orders
     UNION ALL SELECT CAST(10 + o_orderkey % 3 AS INT), CAST(FLOOR(o_orderkey / 100) AS INT), CAST(o_orderkey % 100 AS INT),
@@ -1387,10 +1392,9 @@ def _(spark, sf):
     return resample.merge_first(one)
 
 
-@query("merge_last", f"WITH {_IMAGES_SQL} SELECT y, x, MIN(value) AS value FROM (SELECT *, RANK() OVER (PARTITION BY y, x ORDER BY source DESC) AS rn FROM im WHERE value <> -1 AND ts >= '1997-01-01' AND ts < '1997-12-31') WHERE rn = 1 GROUP BY 1, 2")
+@query("merge_last", f"WITH {_IMAGES_SQL} SELECT y, x, MIN(value) AS value FROM (SELECT *, RANK() OVER (PARTITION BY y, x ORDER BY source DESC) AS rn FROM im WHERE value <> -1) WHERE rn = 1 GROUP BY 1, 2")
 def _(spark, sf):
-    year = resample.filter_collection(_images(spark, sf), 1997)
-    one = year.groupBy("source", "y", "x").agg(F.min(F.when(F.col("value") != -1, F.col("value"))).alias("value")).filter("value IS NOT NULL")
+    one = _images(spark, sf).groupBy("source", "y", "x").agg(F.min(F.when(F.col("value") != -1, F.col("value"))).alias("value")).filter("value IS NOT NULL")
     return resample.merge_first(one, last=True)
 
 
@@ -1399,7 +1403,7 @@ def _(spark, sf):
     return resample.clip(fx.pixels(spark, sf), zonal.rasterize(fx.features(spark, sf), _grid(spark, sf))).select("raster_key", "y", "x", "value")
 
 
-@query("coarsen_nearest", sql("SELECT raster_key, CAST(FLOOR(y / 4) AS INT) AS y, CAST(FLOOR(x / 4) AS INT) AS x, value FROM pixels WHERE y % 4 = 2 AND x % 4 = 2", "pixels"))
+@query("coarsen_nearest", sql("SELECT raster_key, CAST(FLOOR(y / 4) AS INT) AS y, CAST(FLOOR(x / 4) AS INT) AS x, value FROM pixels JOIN (SELECT raster_key AS k, MAX(y) AS my, MAX(x) AS mx FROM pixels GROUP BY 1) e ON e.k = raster_key WHERE y = LEAST(FLOOR(y / 4) * 4 + 2, my) AND x = LEAST(FLOOR(x / 4) * 4 + 2, mx)", "pixels"))
 def _(spark, sf):
     return resample.coarsen(fx.pixels(spark, sf), 4)
 

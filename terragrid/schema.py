@@ -18,6 +18,8 @@ SELECTED = -2
 UNLABELED_ID = 9999
 SYNTHETIC_START = 10000
 FINE_GRAIN_START = 50000
+# Composite ids that would fall on the ids above begin here; cluster ids stay below.
+COMPOSITE_START = 1_000_000_000
 
 # Path sentinel and reserved raster keys.
 UNLABELED = "unlabeled"

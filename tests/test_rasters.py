@@ -221,8 +221,26 @@ def test_flatten_hierarchy(spark):
     rows = [(r["path"], r["level"], r["is_leaf"]) for r in flat.orderBy("order_key").collect()]
     assert rows == [("b", 0, False), ("b.y", 1, True), ("b.x", 1, False), ("b.x.deep", 2, True), ("a", 0, True)]
     assert hierarchy.selectable_options(flat).first()["path"] == "unlabeled"
-    with pytest.raises(Exception, match="deeper than max_levels"):
-        hierarchy.flatten_hierarchy(spark.createDataFrame([(doc,)], "hierarchy string"), max_levels=2).collect()
+    deep = '{"a{}\\"":' * 12 + "{}" + "}" * 12  # braces and a quote inside the names
+    flat = hierarchy.flatten_hierarchy(spark.createDataFrame([(deep,)], "hierarchy string"))
+    assert flat.select("path").count() == 12 and flat.filter("is_leaf").first()["level"] == 11
+
+
+def test_composite_ids_stay_out_of_the_reserved_ones(spark):
+    reg = spark.range(12_000).select(
+        F.lit("k3").alias("raster_key"), F.col("id").cast("int").alias("cluster_id"), F.lit("a").alias("classification_path"), F.lit(None).cast("string").alias("color"))
+    ids = overlay.composite_ids(reg).cache()
+    assert ids.filter((F.col("uid") >= 9999) & (F.col("uid") < S.COMPOSITE_START)).count() == 0
+    rows = [r["uid"] for r in ids.orderBy("cluster_id").collect()]
+    assert rows == sorted(set(rows)) and len(rows) == 12_000
+
+
+def test_merge_refuses_other_sizes_and_fills_gaps(spark):
+    a, b = grid(spark, a=[[1, 2], [3, 4]]), grid(spark, b=[[1, 2, 3], [3, 4, 5]])
+    plus = lambda u, v, y, x: u + v
+    with pytest.raises(ValueError, match="different dimensions"):
+        overlay.merge(a, b, plus)
+    assert back(overlay.merge(a, a.filter("NOT (y = 0 AND x = 1)"), plus)) == [[2, 1], [6, 8]]
 
 
 def test_hierarchy_from_attributes(spark):
@@ -235,3 +253,6 @@ def test_hierarchy_from_attributes(spark):
     assert two == {"wet-land": ("Wet Land", 1), "wet-land.big-lake": ("Big  Lake", 0), "dry": ("Dry", 1), "dry.sand": ("Sand", 0)}
     prof = {r["field"]: (r["n_values"], r["n_distinct"], r["samples"]) for r in hierarchy.field_profile(feats, samples=2).collect()}
     assert prof == {"B": (4, 4, ["Wet Land", "wet land"]), "E": (3, 3, ["Big  Lake", "Sand"])}
+    later = feats.unionByName(spark.createDataFrame([(5, {"Z": "new"})], feats.schema))
+    assert {r["field"] for r in hierarchy.field_profile(later).collect()} == {"B", "E", "Z"}
+    assert {r["field"] for r in hierarchy.field_profile(later, of_first=True).collect()} == {"B", "E"}
