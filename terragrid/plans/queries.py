@@ -795,6 +795,23 @@ def _(spark, sf):
     return overlay.classification_raster(_composite_staged(spark, sf), 1)
 
 
+@query(
+    "land_cover_export",
+    sql(
+        f"""WITH {_MAP_SQL} SELECT 'composite_seg' AS raster_key, y, x, CASE WHEN c.value = -1 THEN -1 ELSE COALESCE(m.id, 9999) END AS class_id
+            FROM comp c LEFT JOIN uids u ON u.uid = c.value LEFT JOIN map1 m ON m.path = SPLIT_PART(u.path, '.', 1)""",
+        "comp", "uids",
+    ),
+)
+def _(spark, sf):
+    """The export of mapping, colours and narrowed class raster, read back."""
+    folder = f"{scratch_dir(spark)}/land-cover-{uuid.uuid4().hex}"
+    seg, colors = _composite_staged(spark, sf), fx.hierarchy_colors(spark, sf)
+    mapping = stage(overlay.pixel_mapping(seg, 1), "mapping")
+    tables.export_land_cover(overlay.classification_raster(seg, 1), mapping, overlay.color_mapping(mapping, colors), folder)
+    return spark.read.parquet(f"{folder}/land-cover").withColumn("class_id", F.col("class_id").cast("int"))
+
+
 # --- colours of pixels --------------------------------------------------------------------------
 
 
@@ -1461,15 +1478,15 @@ def _(spark, sf):
     return cluster.valid_count(fx.table(spark, sf, "embeddings"))
 
 
-@query("flatten_bands", """SELECT vec_id, CAST(LEN(embedding) AS INT) AS n, vec_id % 10 <> 3 AS is_valid,
-      ROUND(CASE WHEN vec_id % 10 = 3 THEN NULL ELSE CAST(embedding[5] AS DOUBLE) END, 6) AS v4 FROM embeddings""")
+@query("flatten_bands", """SELECT vec_id, GENERATE_SUBSCRIPTS(embedding, 1) - 1 AS band,
+      ROUND(CASE WHEN vec_id % 10 = 3 AND GENERATE_SUBSCRIPTS(embedding, 1) = 5 THEN NULL ELSE CAST(UNNEST(embedding) AS DOUBLE) END, 6) AS value, vec_id % 10 <> 3 AS is_valid FROM embeddings""")
 def _(spark, sf):
-    """Embeddings taken apart into bands and put together again; some lose band 4."""
+    """Embeddings taken apart into bands and put together again, all bands; some lose band 4."""
     e = fx.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("band", "value"))
     flat = cluster.flatten_bands(e.filter("NOT (vec_id % 10 = 3 AND band = 4)"), 64)
-    ok = cluster.is_valid_embedding(F.col("embedding"))
-    v4 = F.when(ok, F.round(F.col("embedding")[4].cast("double"), 6))
-    return flat.select("vec_id", F.size("embedding").alias("n"), ok.alias("is_valid"), v4.alias("v4"))
+    rows = flat.select("vec_id", cluster.is_valid_embedding(F.col("embedding")).alias("is_valid"), F.posexplode("embedding").alias("band", "v"))
+    value = F.when(~F.isnan("v"), F.round(F.col("v").cast("double"), 6))
+    return rows.select("vec_id", F.col("band").cast("long").alias("band"), value.alias("value"), "is_valid")
 
 
 @query("nearest_centroid_invalid", """SELECT vec_id, vec_id % 10 = 3 AS is_nodata FROM embeddings""")
@@ -1499,16 +1516,35 @@ def _(spark, sf):
     return out.withColumn("dist", F.round("dist", 6))
 
 
-@query("kmeans_range")
-def _(spark, sf):
-    found, _ = cluster.kmeans_range(fx.table(spark, sf, "embeddings"), (5, 10))
-    return found
-
-
-@query("cluster_palette")
+@query("kmeans_range", """SELECT k.k AS raster_key, vec_id, vec_id % 10 = 3 AS is_nodata, TRUE AS below_k, TRUE AS is_nearest
+    FROM embeddings CROSS JOIN (SELECT UNNEST(['k5', 'k10']) AS k) k""")
 def _(spark, sf):
+    """What holds for any right clustering: nodata where a band is missing, ids below k, the nearest of the returned centroids."""
+    e = fx.table(spark, sf, "embeddings")
+    nan = F.transform("embedding", lambda v, i: F.when((F.col("vec_id") % 10 == 3) & (i == 4), F.lit(float("nan"))).otherwise(v).cast("float"))
+    e = e.select("vec_id", nan.alias("embedding"))
+    found, centers = cluster.kmeans_range(e, (5, 10))
+    near = [
+        cluster.nearest_centroid(e, centers.filter(F.col("raster_key") == f"k{k}")).select(F.lit(f"k{k}").alias("raster_key"), "vec_id", F.col("cluster_id").alias("near"))
+        for k in (5, 10)
+    ]
+    both = found.join(near[0].unionByName(near[1]), ["raster_key", "vec_id"])
+    k = F.substring("raster_key", 2, 3).cast("int")
+    return both.select("raster_key", "vec_id", (F.col("cluster_id") == S.NODATA).alias("is_nodata"), (F.col("cluster_id") < k).alias("below_k"),
+                       (F.col("cluster_id") == F.col("near")).alias("is_nearest"))
+
+
+@query("cluster_palette", """SELECT k.k AS raster_key, CAST(c.c AS INT) AS cluster_id, TRUE AS family_ok, TRUE AS rgb_ok, COUNT(*) > 0 AS own_colour FROM embeddings
+    CROSS JOIN (SELECT UNNEST(['k6', 'k12']) AS k) k JOIN (SELECT UNNEST(RANGE(12)) AS c) c ON c.c < CAST(SUBSTRING(k.k, 2) AS INT) GROUP BY 1, 2""")
+def _(spark, sf):
+    """What holds for any right palette: a family below 3, channels in range, no colour twice in a raster."""
     _, centers = cluster.kmeans_range(fx.table(spark, sf, "embeddings"), (6, 12))
-    return cluster.cluster_palette(centers, 3)
+    made = stage(cluster.cluster_palette(centers, 3), "palette")
+    rgb = ["r", "g", "b"]
+    alone = made.groupBy("raster_key", *rgb).agg(F.count(F.lit(1)).alias("n"))
+    inside = F.col("r").between(0, 255) & F.col("g").between(0, 255) & F.col("b").between(0, 255)
+    return made.join(alone, ["raster_key", *rgb]).select(
+        "raster_key", "cluster_id", F.col("family").between(0, 2).alias("family_ok"), inside.alias("rgb_ok"), (F.col("n") == 1).alias("own_colour"))
 
 
 # --- detections -----------------------------------------------------------------------------------
@@ -1566,6 +1602,16 @@ def _(spark, sf):
     return labels.latest_labels(fx.label_events(spark, sf))
 
 
+@query("label_store", sql("SELECT * FROM edits_now", "edits_now"))
+def _(spark, sf):
+    """Labels saved in two parts and loaded again."""
+    store = f"{scratch_dir(spark)}/label-store-{uuid.uuid4().hex}"
+    e = fx.label_events(spark, sf)
+    for odd in (0, 1):
+        tables.save_labels(e.filter(f"seq % 2 = {odd}"), store)
+    return tables.load_labels(spark, store)
+
+
 @query("merge_labels", sql("SELECT * FROM edits_now", "edits_now"))
 def _(spark, sf):
     e = fx.label_events(spark, sf)
