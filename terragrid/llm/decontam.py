@@ -40,6 +40,8 @@ RANK = 64
 #: Columns of the random sketch beyond the rank.
 OVERSAMPLE = 8
 PASSAGE = 32
+#: Passages that are multiplied at once.
+DENSE = 32
 STEP = 12
 #: Lengths of the stretches that are compared, in steps.
 LENGTHS = (1, 2, 4)
@@ -132,17 +134,16 @@ def gram_times(docs: DataFrame, weight: np.ndarray, right: np.ndarray) -> np.nda
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(right.shape, np.float32)
-        for _, texts in chunks(batches, most=1 << 18):
+        for _, texts in chunks(batches, most=1 << 19):
             term, x, passage, n = _weighted(Words(texts, lower=True, plain=True), weight)
-            if not len(term):
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-            left = np.zeros((n, right.shape[1]), np.float32)
-            left[passage[starts]] = np.add.reduceat(right[term] * x[:, None], starts, axis=0)
-            order = np.argsort(term, kind="stable")
-            sorted_term = term[order]
-            starts = np.flatnonzero(np.concatenate([[True], sorted_term[1:] != sorted_term[:-1]]))
-            total[sorted_term[starts]] += np.add.reduceat(left[passage[order]] * x[order, None], starts, axis=0)
+            cuts = np.searchsorted(passage, np.arange(0, n + DENSE, DENSE)).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi > lo:  # a few passages over the terms that occur in them: small enough to be dense
+                    own, column = np.unique(term[lo:hi], return_inverse=True)
+                    row = passage[lo:hi] - passage[lo]
+                    cells = np.bincount(row * len(own) + column, weights=x[lo:hi], minlength=(int(row[-1]) + 1) * len(own))
+                    part = cells.reshape(-1, len(own)).astype(np.float32)
+                    total[own] += part.T @ (part @ right[own])
         yield _emit(total)
 
     return _sum_rows(docs.select("text").mapInArrow(multiply, "block int, values binary"), right.shape[1])

@@ -33,6 +33,8 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from terragrid.plans.sizing import scratch_dir, stage
 
@@ -215,7 +217,8 @@ def map_records(index: DataFrame, schema: str, derive: Callable[[np.ndarray], tu
     """
     kinds = dict(index.dtypes)
     full = ", ".join([*(f"{c} {kinds[c]}" for c in carry), schema])
-    names = [x.split()[0] for x in schema.split(",")]
+    made_schema = to_arrow_schema(StructType.fromDDL(schema))
+    names = made_schema.names
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width: dict[str, int] = {}
@@ -243,7 +246,7 @@ def map_records(index: DataFrame, schema: str, derive: Callable[[np.ndarray], tu
                     made.append(derive(np.frombuffer(unframe(data[own : own + int(lengths[i])]), dtype)))
                 at = to
             cols = list(zip(*made, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(c) for c in cols)], names=[*carry, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(c, made_schema.field(n).type) for n, c in zip(names, cols, strict=True))], names=[*carry, *names])
 
     return index.select(*dict.fromkeys([*carry, "shard", "offset", "length"])).mapInArrow(read, full)
 
