@@ -17,12 +17,10 @@ from pyspark.sql import functions as F
 
 from terragrid import schema as S
 from terragrid.operators.overlay import composite_ids, composite_inputs
-from terragrid.plans.sizing import stage
+from terragrid.plans.sizing import Dim
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Largest cluster id for which ids are looked up by position in an array.
-MAX_ARRAY_ID = 1 << 20
 _FREE = (1 << 31) - 1
 
 
@@ -61,39 +59,25 @@ def count_pixels_blocks(blocks: DataFrame, nodata: int = S.NODATA) -> DataFrame:
     return cells.groupBy("raster_key", "cluster_id").agg(F.count(F.lit(1)).alias("pixel_count"))
 
 
-def _id_arrays(ids: DataFrame) -> dict[str, list]:
-    """Per raster the composite id at the position of each cluster id.
-
-    Bounded by ``MAX_ARRAY_ID`` entries per raster.
-    """
-    out: dict[str, list] = {}
-    for r in ids.select("raster_key", "cluster_id", "uid").toLocalIterator():
-        row = out.setdefault(r["raster_key"], [])
-        row.extend([None] * (r["cluster_id"] + 1 - len(row)))
-        row[r["cluster_id"]] = r["uid"]
-    return out
-
-
 def composite_blocks(blocks: DataFrame, registry: DataFrame, priority: str = "highest_k") -> DataFrame:
     """J2 on blocks: smallest composite id per cell, nodata where the leading raster has none.
 
-    Ids are looked up by array position; the arrays of a block, one per raster,
-    meet in one shuffle on ``(by, bx)``.
+    The ids that occur in a block are looked up once each and kept beside its
+    values, so any id will do; the arrays of a block, one per raster, meet in one
+    shuffle on ``(by, bx)``.
     """
     inputs = composite_inputs(registry, priority)
     first = inputs.filter("prio = 1").first()
     if first is None:
         raise ValueError("no rasters to build a composite from")
-    ids = stage(composite_ids(registry, priority, inputs), "composite_ids")
-    top = ids.agg(F.max("cluster_id").alias("m"), F.min("cluster_id").alias("l")).first()
-    if top["m"] is not None and (top["m"] > MAX_ARRAY_ID or top["l"] < 0):
-        raise ValueError("cluster ids out of the array range; use operators.overlay.composite on pixels")
-    spark = blocks.sparkSession
-    table = spark.createDataFrame(list(_id_arrays(ids).items()), "raster_key string, _uids array<int>")
-    met = blocks.join(F.broadcast(table), "raster_key", "left")
+    ids = Dim(composite_ids(registry, priority, inputs).select("raster_key", "cluster_id", "uid"))
+    place = ["raster_key", "by", "bx"]
+    seen = blocks.select(*place, F.explode(F.array_distinct("values")).alias("cluster_id"))
+    known = ids.join(seen, ["raster_key", "cluster_id"], how="inner", spread=["by", "bx"])
+    of_block = known.groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("cluster_id", "uid"))).alias("_uids"))
+    met = blocks.join(of_block, place, "left")
     is_ref = F.col("raster_key") == first["raster_key"]
-    blank = F.array().cast("array<int>")
-    uid = lambda v: F.coalesce(F.get(F.coalesce("_uids", blank), v), F.lit(_FREE))
+    uid = lambda v: F.coalesce(F.try_element_at("_uids", v), F.lit(_FREE))
     lead = F.transform("values", lambda v: F.when(v == S.NODATA, F.lit(S.NODATA)).otherwise(uid(v)))
     coded = met.filter(is_ref | F.col("_uids").isNotNull()).select(
         "by", "bx", is_ref.alias("_ref"), F.when(is_ref, lead).otherwise(F.transform("values", uid)).alias("_v")
