@@ -148,13 +148,18 @@ def ranked(sample: DataFrame, rules: Sequence[Rule]) -> list[tuple[Rule, float,
     return [(rule, cost, share) for _, _, rule, cost, share in sorted(found, key=lambda x: x[:2])]
 
 
-def cascade(rows: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS, share: float = SAMPLE_SHARE, first: Column | None = None) -> DataFrame:
+def drawn(rows: DataFrame, most: int = SAMPLE_ROWS, share: float = SAMPLE_SHARE) -> DataFrame:
+    """A few rows to estimate costs on."""
+    return rows.sample(fraction=share, seed=5).limit(most)
+
+
+def cascade(rows: DataFrame, rules: Sequence[Rule], sample: DataFrame, first: Column | None = None) -> DataFrame:
     """Add ``failed_rule``: the first rule of the cascade that rejects the row, or null.
 
     ``first`` is a condition known already; rows that meet it are not tried.
-    The sample serves the order only; it never decides about a row.
+    ``sample`` has the columns of ``rows`` and serves the order only; it never
+    decides about a row.
     """
-    sample = rows.sample(fraction=share, seed=5).limit(sample_rows)
     chain = F.when(first, F.lit("base")) if first is not None else F.when(F.lit(False), F.lit(""))
     for rule, _, _ in ranked(sample, rules):
         chain = chain.when(rule.rejects, F.lit(rule.name))
@@ -163,6 +168,7 @@ def cascade(rows: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_RO
 
 def judge(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """Base measures, ``base_failed``, ``failed_rule`` and ``kept`` for every document."""
-    measured = base_columns(docs)
-    judged = cascade(measured, rules if rules is not None else standard_rules(), first=F.col("base_failed"))
+    # drawn before the measures are taken, so that these are taken of the sample only
+    sample = base_columns(drawn(docs))
+    judged = cascade(base_columns(docs), rules if rules is not None else standard_rules(), sample, first=F.col("base_failed"))
     return judged.withColumn("kept", F.col("failed_rule").isNull())
