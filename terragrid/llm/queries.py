@@ -25,6 +25,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WORDS_SQL = r"""w AS (SELECT doc_id, COALESCE(text, '') AS t, REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"""
+
+_OP3_SQL = f"""WITH {_WORDS_SQL},
+    win AS (SELECT doc_id, i, ARRAY_TO_STRING(ws[i:i + 12], ' ') AS g FROM w, UNNEST(RANGE(1, LEN(ws) - 11)) AS r(i)),
+    early AS (SELECT g, MIN(doc_id) AS m FROM win GROUP BY 1),
+    gone AS (SELECT DISTINCT doc_id, i + d AS p FROM win JOIN early USING (g), UNNEST(RANGE(13)) AS r(d) WHERE m < doc_id),
+    each AS (SELECT doc_id, p, ws[p] AS x FROM w, UNNEST(RANGE(1, LEN(ws) + 1)) AS r(p)),
+    kept AS (SELECT doc_id, STRING_AGG(x, ' ' ORDER BY p) AS k, COUNT(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+    SELECT w.doc_id, LEN(ws) AS n_words, LEN(ws) - COALESCE(n, 0) AS n_removed, SHA256(COALESCE(k, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
+
+_OP5_SQL = rf"""WITH {_WORDS_SQL},
+    win AS (SELECT doc_id, i, ARRAY_TO_STRING(ws[i:i + 7], ' ') AS g FROM w, UNNEST(RANGE(1, LEN(ws) - 6)) AS r(i)),
+    twice AS (SELECT doc_id, i FROM win QUALIFY COUNT(*) OVER (PARTITION BY doc_id, g) > 1),
+    covered AS (SELECT doc_id, COUNT(DISTINCT i + d) AS n FROM twice, UNNEST(RANGE(8)) AS r(d) GROUP BY 1),
+    dups AS (SELECT doc_id, COUNT(*) - COUNT(DISTINCT l) AS n FROM (SELECT doc_id, UNNEST(STRING_SPLIT(t, CHR(10))) AS l FROM w)
+             WHERE REGEXP_MATCHES(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+    base AS (SELECT w.doc_id, t, LEN(ws) AS n_words, LENGTH(ARRAY_TO_STRING(ws, '')) AS word_chars, LEN(REGEXP_EXTRACT_ALL(t, '[#*$%&|<>]')) AS n_symbols,
+               COALESCE(dups.n, 0) AS n_dup_lines, COALESCE(covered.n, 0) AS n_repeat_words FROM w LEFT JOIN dups ON dups.doc_id = w.doc_id LEFT JOIN covered ON covered.doc_id = w.doc_id),
+    failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, LEN(REGEXP_EXTRACT_ALL(t, '\p{{L}}')) AS letters FROM base)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 3 * n_dup_lines > LEN(STRING_SPLIT(t, CHR(10)))
+           OR 2 * LEN(REGEXP_EXTRACT_ALL(t, '\p{{Lu}}')) > letters OR 5 * LEN(REGEXP_EXTRACT_ALL(t, '!!')) > n_words OR 2 * letters < word_chars
+           OR 4 * LEN(REGEXP_EXTRACT_ALL(t, ' \| ')) > n_words) AS kept FROM failed"""
+
+_OP6_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, REGEXP_EXTRACT_ALL(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, ARRAY_TO_STRING(ws[i:i + 3], ' ') AS g FROM w, UNNEST(RANGE(1, GREATEST(LEN(ws) - 2, LEAST(LEN(ws), 1) + 1))) AS r(i)),
+    z AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1),
+    common AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    linked AS (SELECT x, y FROM common JOIN z p ON p.doc_id = x JOIN z q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+    e AS (SELECT x AS a, y AS b FROM linked UNION ALL SELECT y, x FROM linked),
+    walk(doc_id, root) USING KEY (doc_id) AS (
+      SELECT doc_id, doc_id FROM w
+      UNION
+      SELECT e.b, MIN(k.root) FROM walk k JOIN e ON e.a = k.doc_id JOIN recurring.walk r ON r.doc_id = e.b WHERE k.root < r.root GROUP BY 1)
+    SELECT w.doc_id, COALESCE(n, 0) AS n_shingles, root AS component_id FROM w LEFT JOIN z ON z.doc_id = w.doc_id JOIN walk ON walk.doc_id = w.doc_id"""
+
+
 @query("op2_mix_sources")
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terragrid.llm.mixing import mix
@@ -65,12 +102,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-@query("op5_quality_rules")
+@query("op5_quality_rules", _OP5_SQL)
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terragrid.llm.rules import judge
 
     judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @query("op1_feistel_pseudonyms")
@@ -81,7 +118,7 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join("pii", ",").alias("kinds"))
 
 
-@query("op3_substring_dedup")
+@query("op3_substring_dedup", _OP3_SQL)
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terragrid.llm.substring import remove_repeats
 
@@ -96,7 +133,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op6_jaccard_components")
+@query("op6_jaccard_components", _OP6_SQL)
 def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terragrid.llm.jaccard import Join, linked_components
 
