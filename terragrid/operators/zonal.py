@@ -57,14 +57,31 @@ def polygon_spans(features: DataFrame, grid: DataFrame) -> DataFrame:
     return spans.select("feature_id", "y", x0.alias("x0"), x1.alias("x1")).filter("x0 <= x1")
 
 
+#: Neighbouring pixels of a row that are burnt and sent together.
+RUN = 64
+
+
+def burn(features: DataFrame, grid: DataFrame) -> DataFrame:
+    """J6 on runs: ``y, _run, _ids``, the features of ``RUN`` neighbouring pixels, null where there is none.
+
+    Spans are cut at the runs and overlaps settled per run, the later feature
+    wins; no row per pixel is made.
+    """
+    of = lambda c: F.floor(F.col(c) / RUN).cast("int")
+    cut = polygon_spans(features, grid).withColumn("_run", F.explode(F.sequence(of("x0"), of("x1"))))
+    a, b = F.greatest(F.col("x0") - F.col("_run") * RUN, F.lit(0)), F.least(F.col("x1") - F.col("_run") * RUN, F.lit(RUN - 1))
+    parts = cut.groupBy("y", "_run").agg(F.collect_list(F.struct("feature_id", a.alias("a"), b.alias("b"))).alias("_s"))
+    last = lambda i: F.array_max(F.transform("_s", lambda s: F.when(i.between(s["a"], s["b"]), s["feature_id"])))
+    return parts.select("y", "_run", F.transform(F.sequence(F.lit(0), F.lit(RUN - 1)), last).alias("_ids"))
+
+
 def rasterize(features: DataFrame, grid: DataFrame, fill: bool = False) -> DataFrame:
     """Feature of every covered pixel; the later feature wins an overlap.
 
     With ``fill`` pixels outside all polygons are returned as feature 0.
     """
-    spans = polygon_spans(features, grid)
-    burnt = spans.select("feature_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    burnt = burnt.groupBy("y", "x").agg(F.max("feature_id").alias("feature_id"))
+    cells = burn(features, grid).select("y", "_run", F.posexplode("_ids").alias("_at", "feature_id")).filter("feature_id IS NOT NULL")
+    burnt = cells.select("y", (F.col("_run") * RUN + F.col("_at")).alias("x"), "feature_id")
     if not fill:
         return burnt
     from terragrid.operators.overlay import constant_raster
@@ -73,19 +90,22 @@ def rasterize(features: DataFrame, grid: DataFrame, fill: bool = False) -> DataF
     return cells.join(burnt, ["y", "x"], "left").select("y", "x", F.coalesce("feature_id", F.lit(0)).alias("feature_id"))
 
 
-RUN = 64
+def _packed(feature_pixels: DataFrame) -> DataFrame:
+    """Pixel rows ``y, x, feature_id`` as runs."""
+    run = F.floor(F.col("x") / RUN).cast("int")
+    burnt = feature_pixels.filter("feature_id <> 0").select("y", run.alias("_run"), (F.col("x") % RUN).alias("_at"), "feature_id")
+    packed = burnt.groupBy("y", "_run").agg(F.map_from_entries(F.collect_list(F.struct("_at", "feature_id"))).alias("_m"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(RUN - 1)), lambda i: F.col("_m")[i])
+    return packed.select("y", "_run", slots.alias("_ids"))
 
 
-def attach_features(pixels: DataFrame, feature_pixels: DataFrame) -> DataFrame:
+def attach_features(pixels: DataFrame, burnt: DataFrame) -> DataFrame:
     """Feature under every pixel, null where there is none.
 
-    A packed row holds the features of ``RUN`` neighbouring pixels.
+    ``burnt`` holds runs as ``burn`` makes them, or pixel rows ``y, x, feature_id``.
     """
     run = F.floor(F.col("x") / RUN).cast("int")
-    burnt = feature_pixels.filter("feature_id <> 0").select("y", run.alias("_run"), (F.col("x") % RUN).alias("_at"), "feature_id")
-    packed = burnt.groupBy("y", "_run").agg(F.map_from_entries(F.collect_list(F.struct("_at", "feature_id"))).alias("_m"))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(RUN - 1)), lambda i: F.col("_m")[i])
-    runs = Dim(packed.select("y", "_run", slots.alias("_ids")), name="runs")
+    runs = Dim(burnt if "_ids" in burnt.columns else _packed(burnt), name="runs")
     if runs.small:
         met = runs.join(pixels.withColumn("_run", run), ["y", "_run"])
         return met.select(*pixels.columns, F.get("_ids", F.col("x") % RUN).alias("feature_id"))
@@ -100,8 +120,8 @@ def zonal_intersection(pixels: DataFrame, feature_pixels: DataFrame, min_pct: fl
     ``pct`` is of the cluster's valid pixels, inside features or not; ``passes``
     tells whether it reaches ``min_pct`` before rounding.
 
-    The burnt pixels are packed into short runs of a row.  If those fit a
-    broadcast, the rasters are not shuffled at all; otherwise both meet on
+    Burnt polygons come as runs of a row (``burn``) or as pixel rows, which are
+    packed into runs.  If those fit a broadcast, the rasters are not shuffled at all; otherwise both meet on
     ``(y, x)``.  Pixels are counted per (raster, cluster, feature) before the
     shuffle of the aggregate, and totals come from those counts, so a background
     cluster with most pixels costs no more than any other.

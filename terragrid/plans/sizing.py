@@ -22,7 +22,8 @@ BROADCAST_MAX_BYTES = 48 * 1024 * 1024
 SINGLE_TASK_ROWS = 100_000
 SALTS = 32
 
-_local_scratch: dict[str, str] = {}
+#: Of local sessions without a named folder; removed when Python ends.
+_local_scratch: dict[str, tempfile.TemporaryDirectory] = {}
 _measured: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
@@ -35,8 +36,8 @@ def scratch_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="terragrid-")
-    return _local_scratch[app]
+        _local_scratch[app] = tempfile.TemporaryDirectory(prefix="terragrid-", ignore_cleanup_errors=True)
+    return _local_scratch[app].name
 
 
 def _row_bytes(df: DataFrame) -> Column:

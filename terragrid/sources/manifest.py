@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 from terragrid.functions.ids import k_of
 from terragrid.plans.sizing import Dim
 
-# Messages of the manifest and projection checks.
+# Messages of the projection checks, in the order of the rules; the last three name what was found.
+PROJECTION_RULES = (
+    "missing projection metadata",
+    "missing geoKeys",
+    "invalid ModelPixelScale",
+    "invalid ModelTiepoint",
+    "not WGS84 (got ",
+    "not geographic model (got ",
+    "not pixel area (got ",
+)
+# Messages of the manifest checks.
 MANIFEST_RULES = (
     ("no_keys", "Missing required field: segmentation_keys"),
     ("no_files", "Missing required field: files"),
@@ -133,15 +143,10 @@ def projection_issues(meta: DataFrame) -> DataFrame:
     no_keys = F.col("geographic_type").isNull() & F.col("model_type").isNull() & F.col("raster_type").isNull()
     short = lambda c, n: F.coalesce(F.size(c) < n, F.lit(True)) | F.col(c).isNull()
     other = lambda c, v: F.coalesce(F.col(c) != v, F.lit(True))
-    checks = [
-        (no_keys & F.col("pixel_scale").isNull() & F.col("tiepoint").isNull(), F.lit("missing projection metadata")),
-        (no_keys, F.lit("missing geoKeys")),
-        (short("pixel_scale", 3), F.lit("invalid ModelPixelScale")),
-        (short("tiepoint", 6), F.lit("invalid ModelTiepoint")),
-        (other("geographic_type", WGS84), F.concat(F.lit("not WGS84 (got "), got("geographic_type"), F.lit(")"))),
-        (other("model_type", GEOGRAPHIC_MODEL), F.concat(F.lit("not geographic model (got "), got("model_type"), F.lit(")"))),
-        (other("raster_type", PIXEL_IS_AREA), F.concat(F.lit("not pixel area (got "), got("raster_type"), F.lit(")"))),
-    ]
+    plain = [no_keys & F.col("pixel_scale").isNull() & F.col("tiepoint").isNull(), no_keys, short("pixel_scale", 3), short("tiepoint", 6)]
+    named = [("geographic_type", WGS84), ("model_type", GEOGRAPHIC_MODEL), ("raster_type", PIXEL_IS_AREA)]
+    checks = [(c, F.lit(m)) for c, m in zip(plain, PROJECTION_RULES)]
+    checks += [(other(c, v), F.concat(F.lit(m), got(c), F.lit(")"))) for (c, v), m in zip(named, PROJECTION_RULES[len(plain):])]
     used = ("pixel_scale", "tiepoint", "geographic_type", "model_type", "raster_type")
     issues = F.array_compact(F.array(*[F.when(c, m) for c, m in checks]))
     return meta.select(*[c for c in meta.columns if c not in used], issues.alias("issues"))

@@ -15,6 +15,9 @@ from terragrid.operators.labels import latest_labels
 _PROPS = "map<string,string>"
 
 
+# Fixed value: message for a label document of another shape.
+LABEL_FORMAT_ERROR = "Invalid label file format"
+
 # --- labels ---------------------------------------------------------------------------
 
 
@@ -42,7 +45,7 @@ def import_labels(spark: SparkSession, path: str) -> DataFrame:
     docs = spark.read.text(path, wholetext=True).select(F.col("value").alias("labels"))
     parsed = parse_labels(docs)
     if not parsed.filter("NOT is_valid").isEmpty():
-        raise ValueError("Invalid label file format")
+        raise ValueError(LABEL_FORMAT_ERROR)
     return parsed.select("raster_key", "cluster_id", "path")
 
 

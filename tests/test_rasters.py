@@ -11,7 +11,7 @@ from terragrid import schema as S
 from terragrid.functions import color as C
 from terragrid.functions import ids as I
 from terragrid.functions import paths as P
-from terragrid.operators import hierarchy, overlay, registry, render
+from terragrid.operators import hierarchy, overlay, registry, render, zonal
 
 
 def grid(spark, **rasters):
@@ -256,3 +256,17 @@ def test_hierarchy_from_attributes(spark):
     later = feats.unionByName(spark.createDataFrame([(5, {"Z": "new"})], feats.schema))
     assert {r["field"] for r in hierarchy.field_profile(later).collect()} == {"B", "E", "Z"}
     assert {r["field"] for r in hierarchy.field_profile(later, of_first=True).collect()} == {"B", "E"}
+
+
+def test_degenerate_rings(spark):
+    ring = lambda *p: [(float(a), float(b)) for a, b in p]
+    square = [(0, 0), (2, 0), (2, 2), (0, 2)]
+    rows = [(1, [ring(), ring((1, 1)), ring((0, 0), (1, 1))]), (2, [ring(*square)]), (3, [ring((2, 0), (4, 0), (4, 2), (2, 2), (2, 0))]), (4, [])]
+    feats = spark.createDataFrame(rows, "feature_id int, rings array<array<struct<lng:double,lat:double>>>")
+    g = spark.createDataFrame([(0.0, 2.0, 1.0, 1.0, 4, 2)], "xmin double, ymax double, pixel_width double, pixel_height double, width int, height int")
+    got = {(r["y"], r["x"]): r["feature_id"] for r in zonal.rasterize(feats, g).collect()}
+    assert got == {(y, x): 2 if x < 2 else 3 for y in range(2) for x in range(4)}
+    wide = spark.createDataFrame([(5, [ring((0, 0), (200, 0), (200, 1), (0, 1), (0, 0))]), (6, [ring((60, 0), (70, 0), (70, 1), (60, 1), (60, 0))])], feats.schema)
+    long = spark.createDataFrame([(0.0, 1.0, 1.0, 1.0, 200, 1)], g.schema)
+    got = {r["x"]: r["feature_id"] for r in zonal.rasterize(wide, long).collect()}
+    assert got == {x: 6 if 60 <= x < 70 else 5 for x in range(200)}
