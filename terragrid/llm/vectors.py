@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are held as arrays at once; a longer text is taken alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
