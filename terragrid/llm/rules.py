@@ -9,7 +9,8 @@ the measures that only one rule reads are written into that rule.
 The order changes the cost, not the verdict: a row is kept when no rule rejects.
 
 Defined results: a null text has no words and all counts 0; a rule whose
-condition is null does not reject; repeated rows are judged alike; an empty
+condition is null does not reject; repeated rows are judged alike; columns of the
+input that bear the name of a measure are replaced, others pass through; an empty
 table gives an empty table, with the rules in the given order.
 """
 

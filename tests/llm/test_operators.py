@@ -264,6 +264,9 @@ def test_rules_odd_rows(odd, empty):
     got = {r["doc_id"]: r for r in rules.judge(odd.select(*plain)).collect()}
     assert got[1]["n_words"] == 0 and got[1]["base_failed"] and rules.judge(empty.select(*plain)).count() == 0
     assert got[4]["n_words"] == 60_000
+    whole = rules.judge(odd)  # with clashing columns
+    assert {r["doc_id"]: r["n_words"] for r in whole.collect()} == {i: r["n_words"] for i, r in got.items()}
+    assert pii.pseudonymize(odd, "k").count() == odd.count() and pii.pseudonymize(empty, "k").count() == 0
 
 
 # --- op6 ---------------------------------------------------------------------------------
