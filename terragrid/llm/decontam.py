@@ -4,8 +4,10 @@ The corpus is cut into passages of ``PASSAGE`` words; each is a TF-IDF vector ov
 ``TERMS`` hashed words.  A randomised SVD, two passes over all passages, gives
 the space of their largest singular vectors.  Benchmark items and, in every
 document, stretches of a few lengths at every ``STEP``-th word are folded into it,
-and pairs with a high cosine are candidates.  Each candidate is then read: the
-longest common subsequence of words, and the share of the item's answer (its
+and pairs with a high cosine are candidates.  So are, whatever their cosine, all
+places that hold enough of an item's rarest words for ``SHARED`` of the item to
+stand within ``SPREAD`` times its length: no stretch of that length that meets
+the limits below is missed.  Each candidate is then read: the longest common subsequence of words, and the share of the item's answer (its
 last sentence) that the stretch holds, decide.
 
     verbatim    the subsequence holds ``NEAR`` of the item's words
@@ -24,6 +26,7 @@ items gives no pairs; documents shorter than a stretch are one stretch.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,9 +48,13 @@ DENSE = 32
 STEP = 12
 #: Lengths of the stretches that are compared, in steps.
 LENGTHS = (1, 2, 4)
-#: Words in a larger share of the passages weigh nothing.
+#: Words in a larger share of the passages weigh nothing in the latent space; items are looked for by them all the same.
 COMMON = 0.05
 COSINE = 0.7
+#: Words of a stretch in which an item is looked for by its words, per word of the item.
+SPREAD = 1.5
+#: Pairs of a word of the texts and an item with it that are sorted at once.
+HITS = 1 << 21
 NEAR = 0.8
 SHARED = 0.6
 ANSWERED = 0.6
@@ -92,8 +99,8 @@ def _emit(table: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(data, pa.binary())], names=["block", "values"])
 
 
-def term_weights(docs: DataFrame) -> np.ndarray:
-    """Inverse passage frequency of every term over all documents; 0 for words too common to tell."""
+def term_rarity(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse passage frequency of every term over all documents, above 0; and which terms are too common for the space."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(TERMS, np.int64), 0
@@ -112,9 +119,13 @@ def term_weights(docs: DataFrame) -> np.ndarray:
     n = got.pop(-1, 0)
     seen = np.zeros(TERMS)
     seen[list(got)] = list(got.values())
-    weight = np.log((n + 1) / (seen + 1))
-    weight[seen > COMMON * n] = 0
-    return weight.astype(np.float32)
+    return np.log((n + 2) / (seen + 1)).astype(np.float32), seen > COMMON * n
+
+
+def term_weights(docs: DataFrame) -> np.ndarray:
+    """Weights of the terms in the latent space: their rarity, 0 for common ones."""
+    rarity, common = term_rarity(docs)
+    return np.where(common, np.float32(0), rarity)
 
 
 def _weighted(w: Words, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -150,8 +161,9 @@ def gram_times(docs: DataFrame, weight: np.ndarray, right: np.ndarray) -> np.nda
 
 
 def latent_space(docs: DataFrame, rank: int = RANK, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Term weights, and the map (terms x rank) that folds words into the space of all passages."""
-    weight = term_weights(docs)
+    """Rarity of the terms, common ones as well, and the map (terms x rank) that folds words into the space of all passages."""
+    rarity, common = term_rarity(docs)
+    weight = np.where(common, np.float32(0), rarity)
     sketch = np.random.default_rng(seed).normal(size=(TERMS, rank + OVERSAMPLE))
     basis, _ = np.linalg.qr(gram_times(docs, weight, sketch))
     image = gram_times(docs, weight, basis)
@@ -159,7 +171,7 @@ def latent_space(docs: DataFrame, rank: int = RANK, seed: int = 3) -> tuple[np.n
     best = np.argsort(values)[::-1][:rank]
     best = best[values[best] > 1e-9 * max(values.max(), 1e-30)]
     # folded in by the inverse singular values: else the first few, languages and plain style, rule every cosine
-    return weight, (basis @ turn[:, best] / np.sqrt(values[best]) * weight[:, None]).astype(np.float32)
+    return rarity, (basis @ turn[:, best] / np.sqrt(values[best]) * weight[:, None]).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -170,12 +182,37 @@ class Items:
     latent: np.ndarray
     words: list[np.ndarray]
     answers: list[frozenset]
+    #: ``rare``: hashes of the items' rarest words, ascending; the items of each are a slice of ``holders`` from ``first`` on
+    rare: np.ndarray
+    first: np.ndarray
+    holders: np.ndarray
+    #: a stretch of ``reach`` words that holds an item holds ``need`` of its rarest words
+    need: np.ndarray
+    reach: np.ndarray
 
 
 _sentence = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def fold_items(rows: list[tuple], space: np.ndarray) -> Items:
+def _least(item: np.ndarray) -> int:
+    """Words that a subsequence must hold to be ``SHARED`` of the item."""
+    return max(1, math.ceil(SHARED * len(item) - 1e-9))
+
+
+def _rare_words(words: list[np.ndarray], rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``rare, first, holders, need, reach`` of :class:`Items`."""
+    need = [max(1, _least(x) // 2) for x in words]
+    # a subsequence leaves out len - least places at most, so of that many and ``need`` more it holds ``need``
+    rare = [np.unique(x[np.argsort(-rarity[_term(x)], kind="stable")[: len(x) - _least(x) + n]]) for x, n in zip(words, need, strict=True)]
+    key = np.concatenate([np.zeros(0, np.uint64), *rare])
+    holder = np.repeat(np.arange(len(rare)), [len(r) for r in rare])
+    order = np.argsort(key, kind="stable")
+    keys, first = np.unique(key[order], return_index=True)
+    reach = [math.ceil(SPREAD * len(x)) for x in words]
+    return keys, np.append(first, len(key)), holder[order], np.array(need, np.int64), np.array(reach, np.int64)
+
+
+def fold_items(rows: list[tuple], space: np.ndarray, rarity: np.ndarray) -> Items:
     kept = []
     for item, text in rows:
         w = Words([(text or "").encode()], lower=True, plain=True)
@@ -184,7 +221,7 @@ def fold_items(rows: list[tuple], space: np.ndarray) -> Items:
             kept.append((item, w.hashes(), frozenset(Words([sentences[-1].encode()], lower=True, plain=True).hashes().tolist())))
     latent = np.array([space[_term(h)].sum(axis=0) for _, h, _ in kept], np.float32).reshape(len(kept), space.shape[1])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Items([k[0] for k in kept], latent, [k[1] for k in kept], [k[2] for k in kept])
+    return Items([k[0] for k in kept], latent, [k[1] for k in kept], [k[2] for k in kept], *_rare_words([k[1] for k in kept], rarity))
 
 
 def common_subsequence(item: np.ndarray, stretch: list[int]) -> int:
@@ -201,6 +238,62 @@ def common_subsequence(item: np.ndarray, stretch: list[int]) -> int:
     return len(item) - row.bit_count()
 
 
+def _places(w: Words, h: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int]]:
+    """``doc, item, lo, hi``: where the texts hold enough of an item's rarest words; ranges of one item do not meet."""
+    key = np.minimum(np.searchsorted(items.rare, h), len(items.rare) - 1)
+    at = np.flatnonzero(items.rare[key] == h)
+    key = key[at]
+    often = np.bincount(key, minlength=len(items.rare))
+    hits = np.bincount(items.holders, weights=np.repeat(often, np.diff(items.first)), minlength=len(items.ids))
+    part = (np.cumsum(hits) // HITS).astype(np.int64)[items.holders]
+    for p in np.unique(part):
+        own = part == p
+        first = np.concatenate([[0], np.cumsum(own)])[items.first]
+        times = np.diff(first)[key]
+        before = np.cumsum(times) - times
+        index = np.repeat(first[key] - before, times) + np.arange(int(times.sum()))
+        item, pos = np.divmod(np.sort(items.holders[own][index] * len(h) + np.repeat(at, times)), len(h))
+        last = np.arange(len(pos)) + items.need[item] - 1
+        some = np.flatnonzero(last < len(pos))
+        last = last[some]
+        reach = items.reach[item[some]]
+        some = some[(item[last] == item[some]) & (pos[last] - pos[some] < reach) & (w.doc[pos[last]] == w.doc[pos[some]])]
+        if not len(some):
+            continue
+        item, begin, end = item[some], pos[some], pos[some + items.need[item[some]] - 1]
+        doc = w.doc[begin]
+        lo = np.maximum(end - items.reach[item] + 1, w.first[doc])
+        hi = np.minimum(begin + items.reach[item], w.first[doc + 1])
+        new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1])]))
+        yield from zip(doc[new].tolist(), item[new].tolist(), lo[new].tolist(), hi[np.append(new[1:], len(hi)) - 1].tolist(), strict=True)
+
+
+def _read(h: np.ndarray, lo: int, hi: int, item: np.ndarray, answer: frozenset, reach: int) -> tuple[float, float, int] | None:
+    """``lcs, answered, begin`` of the best stretch of about ``reach`` words in a range that meets the limits."""
+    own = np.unique(item)
+    words = h[lo:hi]
+    held = own[np.minimum(np.searchsorted(own, words), len(own) - 1)] == words
+    count = np.concatenate([[0], np.cumsum(held)])
+    starts = np.flatnonzero(held)
+    starts = starts[count[np.minimum(starts + reach, len(words))] - count[starts] >= _least(item)]
+    if not len(starts) or common_subsequence(item, words.tolist()) < _least(item):
+        return None
+    # stretches are a little longer than ``reach``, so that not every word has to begin one
+    step = 1 + reach // 16
+    best = None
+    for a in (np.unique(starts // step) * step).tolist():
+        stretch = words[a : a + reach + step].tolist()
+        lcs = common_subsequence(item, stretch) / len(item)
+        if lcs < SHARED:
+            continue
+        answered = len(answer.intersection(stretch)) / len(answer)
+        if (lcs >= NEAR or answered >= ANSWERED) and (best is None or (lcs, answered) > best[:2]):
+            best = lcs, answered, lo + a
+            if lcs == 1:
+                break
+    return best
+
+
 def search(texts: list[bytes | None], space: np.ndarray, items: Items) -> Iterator[tuple[int, int, float, float, float, int]]:
     """``text, item, cosine, lcs, answer, at`` of what the texts hold; the best stretch of each pair."""
     w = Words(texts, lower=True, plain=True)
@@ -208,15 +301,16 @@ def search(texts: list[bytes | None], space: np.ndarray, items: Items) -> Iterat
         return
     h = w.hashes()
     # every STEP-th word of each text begins a block; stretches are sums of blocks
-    begin = np.flatnonzero((np.arange(len(w)) - w.first[w.doc]) % STEP == 0)
+    place = np.arange(len(w)) - w.first[w.doc]
+    begin = np.flatnonzero(place % STEP == 0)
     doc_of, last = w.doc[begin], w.first[w.doc[begin] + 1]
-    blocks = np.zeros((len(begin), space.shape[1]), np.float32)
     term = _term(h)
-    own = np.flatnonzero(space.any(axis=1)[term])
-    if len(own):
-        block = np.searchsorted(begin, own, side="right") - 1
-        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        blocks[block[starts]] = np.add.reduceat(space[term[own]], starts, axis=0)
+    grid = np.full((STEP, len(begin)), len(space), np.int32)  # what a short block lacks is a row of zeros
+    grid[place % STEP, np.cumsum(place % STEP == 0) - 1] = term
+    rows = np.concatenate([space, np.zeros((1, space.shape[1]), space.dtype)])
+    blocks = np.zeros((len(begin), space.shape[1]), np.float32)
+    for column in grid:
+        blocks += rows[column]
     found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
     stretch, length = blocks, 1
     for wanted in LENGTHS:
@@ -235,10 +329,21 @@ def search(texts: list[bytes | None], space: np.ndarray, items: Items) -> Iterat
         end = np.minimum(begin[at] + wanted * STEP, last[at])
         for doc, k, c, x, y in zip(doc_of[at].tolist(), item.tolist(), cosine[row, item].tolist(), begin[at].tolist(), end.tolist(), strict=True):
             found.setdefault((doc, k), []).append((c, x, y))
-    for (doc, k), stretches in sorted(found.items()):
+    read: dict[tuple[int, int], tuple[float, float, float, int]] = {}
+    for doc, k, lo, hi in _places(w, h, items):
+        got = _read(h, lo, hi, items.words[k], items.answers[k], int(items.reach[k]))
+        if got:
+            lcs, answered, a = got
+            v = space[term[a : min(a + int(items.reach[k]), int(w.first[doc + 1]))]].sum(axis=0)
+            cosine = float(v @ items.latent[k] / max(float(np.linalg.norm(v)), 1e-9))
+            read[doc, k] = max(read.get((doc, k), (0.0,)), (lcs, answered, cosine, int(a - w.first[doc])))
+    for doc, k in sorted(found.keys() | read.keys()):
+        stretches = found.get((doc, k), [])
         item, answer = items.words[k], items.answers[k]
         own = frozenset(item.tolist())
-        best = None
+        best = read.get((doc, k))
+        if best and best[0] == 1:
+            stretches = []
         tried = set()
         for cosine, a, b in sorted(stretches, reverse=True):
             middle, reach = (a + b) // 2, max(len(item), b - a) // 2 + len(item) // 4 + STEP
@@ -275,10 +380,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     kind = dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id long, item_id {kind}, cosine double, lcs double, answer double, at long"
-    _, space = latent_space(rows)
+    rarity, space = latent_space(rows)
     out = None
     for part in _item_parts(benchmark):
-        items = fold_items(part, space)
+        items = fold_items(part, space, rarity)
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch, texts in chunks(batches, most=1 << 20):
@@ -298,10 +403,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    _, space = latent_space(docs.select(F.col("text").cast("string")))
+    rarity, space = latent_space(docs.select(F.col("text").cast("string")))
     out = docs
     for part in _item_parts(benchmark):
-        items = fold_items(part, space)
+        items = fold_items(part, space, rarity)
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch, texts in chunks(batches, most=1 << 20):

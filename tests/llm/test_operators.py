@@ -493,6 +493,52 @@ def test_paraphrases(spark):
     assert kept.columns == docs.columns and not {r["doc_id"] for r in kept.collect()} & {r[0] for r in found}
 
 
+def _meets_limits(item, stretch):
+    """The limits by the plain table; the answer is the last sentence of three words or more."""
+    a, b = _plain(item).split(), _plain(stretch).split()
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    answer = set(_plain(([s for s in re.split(r"(?<=[.!?])\s+|\n+", item) if len(_plain(s).split()) >= 3] or [item])[-1]).split())
+    return row[-1] >= decontam.NEAR * len(a) or row[-1] >= decontam.SHARED * len(a) and len(answer & set(b)) >= decontam.ANSWERED * len(answer)
+
+
+def _planted(spark, make, items=None, n=None):
+    """``docs, bench, wanted pairs``: documents of sf0.01 and one more for each of ``make(item words, index)``."""
+    folder = SF.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    bench = items or [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").collect()]
+    around = [words(r["text"]) for r in docs.orderBy("doc_id").limit(300).collect()]
+    around = [w for w in around if len(w) >= 20]
+    rows, wanted = [], set()
+    for item, text in bench:
+        for k, middle in enumerate(make(text.split(), item)):
+            doc, side = 100_000 + 1000 * item + k, around[(item + k) % len(around)]
+            rows.append((doc, " ".join([*side[: 20 + k % 13], *middle, *side[:20]]), "en", "x", 1))
+            if _meets_limits(text, " ".join(middle)):
+                wanted.add((doc, item))
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    return more, spark.createDataFrame(bench, "item_id long, text string"), wanted
+
+
+@pytest.mark.parametrize("share", [60, 70, 80, 87])
+def test_items_at_the_limits_are_found(spark, share):
+    """Every pair that meets the limits by brute force, at each share of words kept."""
+
+    def changed(w, i):
+        rng = np.random.default_rng([share, i])
+        for _ in range(4):
+            gone = set(rng.permutation(len(w))[: len(w) - int(np.ceil(share * len(w) / 100))].tolist())
+            yield [f"zq{i}x{j}" if j in gone else x for j, x in enumerate(w)]
+
+    docs, bench, wanted = _planted(spark, changed)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()}
+    print(f"share {share}: {len(wanted & got)} of {len(wanted)}")
+    assert len(wanted) >= 60 and wanted <= got
+
+
 def test_decontam_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "no id here but some words"), (4, "...")], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(odd, bench).collect()] == [(None, 3)]
