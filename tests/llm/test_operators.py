@@ -539,6 +539,18 @@ def test_items_at_the_limits_are_found(spark, share):
     assert len(wanted) >= 60 and wanted <= got
 
 
+def test_verbatim_items_of_any_length(spark):
+    """Short and long items behind every offset from the start of a block."""
+    rng = np.random.default_rng(9)
+    folder = SF.replace("sf0.001", "sf0.01")
+    pool = [x for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").limit(300).collect() for x in words(r["text"]) if _plain(x)]
+    items = [(n, " ".join(pool[int(j)] for j in rng.integers(0, len(pool), n))) for n in (6, 8, 100, 200, 500)]
+    docs, bench, wanted = _planted(spark, lambda w, i: [w] * 13, items)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()}
+    print({n: sum(i == n for _, i in wanted & got) for n, _ in items})
+    assert len(wanted) == 65 and wanted <= got
+
+
 def test_decontam_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "no id here but some words"), (4, "...")], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(odd, bench).collect()] == [(None, 3)]
