@@ -551,6 +551,16 @@ def test_verbatim_items_of_any_length(spark):
     assert len(wanted) == 65 and wanted <= got
 
 
+def test_an_item_in_a_third_of_the_rows_is_found(spark):
+    """Copies so many that each of their words stands in over a twentieth of all passages."""
+    rows = [(i, " ".join(f"w{(i * 37 + j * j) % 9001}" for j in range(30))) for i in range(400)]
+    item = " ".join(f"common{j}" for j in range(24))
+    rows += [(1000 + i, item + f" tail{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {(1000 + i, 1) for i in range(200)}
+
+
 def test_decontam_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "no id here but some words"), (4, "...")], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(odd, bench).collect()] == [(None, 3)]
