@@ -23,8 +23,6 @@ from terragrid.streaming import labels as stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: A stream over files that are all there ends long before.
-STREAM_SECONDS = 600
 
 
 def query(name: str, oracle: str | None = None):
@@ -1652,7 +1650,7 @@ def _(spark, sf):
     root = f"{scratch_dir(spark)}/label-stream-{uuid.uuid4().hex}"
     fx.label_events(spark, sf).repartition(4, "seq").write.parquet(f"{root}/log")
     edits = stream.read_label_stream(spark, f"{root}/log", files_per_trigger=2)
-    stream.fold_label_stream(edits, f"{root}/labels", f"{root}/checkpoint").awaitTermination(STREAM_SECONDS)
+    stream.fold_label_stream(edits, f"{root}/labels", f"{root}/checkpoint").awaitTermination()  # of files that are there: ends by itself
     return stream.current_labels(spark, f"{root}/labels")
 
 
@@ -1662,7 +1660,7 @@ def _(spark, sf):
     root = f"{scratch_dir(spark)}/progress-stream-{uuid.uuid4().hex}"
     fx.label_events(spark, sf).repartition(4, "seq").write.parquet(f"{root}/log")
     edits = stream.read_label_stream(spark, f"{root}/log", files_per_trigger=2)
-    stream.write_progress(edits, f"{root}/progress", f"{root}/checkpoint").awaitTermination(STREAM_SECONDS)
+    stream.write_progress(edits, f"{root}/progress", f"{root}/checkpoint").awaitTermination()  # of files that are there: ends by itself
     return spark.read.parquet(f"{root}/progress")
 
 

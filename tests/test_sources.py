@@ -273,3 +273,13 @@ def test_centroids_in_parts(spark, monkeypatch):
     c = spark.createDataFrame([(i, [i * 10.0, float(i)]) for i in range(3)], "cluster_id int, centroid array<double>")
     got = {r["vec_id"]: r["cluster_id"] for r in cluster.nearest_centroid(vectors(spark), c).collect()}
     assert all(got[i] == i % 3 for i in range(90)) and got[900] == -1
+
+
+@pytest.mark.parametrize("name", ["label_stream", "progress_stream"])
+def test_stream_queries_wait_for_all_batches(spark, monkeypatch, name):
+    from terragrid.plans import queries
+
+    monkeypatch.setattr(queries, "STREAM_SECONDS", 0.001, raising=False)  # no limit may end them early
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    edits = queries.fx.label_events(spark, "/root/testdata/sf0.001")
+    assert got == edits.select("raster_key", *(["cluster_id"] if name == "label_stream" else [])).distinct().count()
