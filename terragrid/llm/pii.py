@@ -5,10 +5,10 @@ valid value is replaced by the value to which a keyed permutation of its own
 format maps it.  Equal values so become equal pseudonyms in every document,
 different ones stay different, and a pseudonym passes the same validation.
 
-    card    13 to 19 digits, Luhn valid: all digits but the check digit, which is computed anew
-    iban    valid by its check digits: letters and digits of the account, check digits anew
+    card    13 to 19 digits, Luhn valid, also beside a shorter number: all digits but the check digit, which is computed anew
+    iban    valid by its check digits, solid or with single spaces: letters and digits of the account, check digits anew
     ssn     valid area, group and serial, permuted within the valid ones
-    phone   international or ten-digit: all digits behind the country code
+    phone   international in any grouping, or ten-digit: all digits behind the country code
     ip      four octets below 256
     date    ISO, with slashes (month first where both readings are possible) or dots (day first), years 1900-2099
     email   letters and digits before the @
@@ -33,15 +33,26 @@ from terragrid.llm.text import free_name
 ROUNDS = 8
 
 _L, _R = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
+#: Characters of an IBAN by country; with spaces in it nothing else tells where it ends.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "IS TR", 27: "BF BI BJ CF CG CI CM DJ FR GA GR IT MC MG ML MR NE SM SN TD TG", 28: "AL AZ BY CY DO GT HN HU KM LB MA NI PL SV YE",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_SPACED = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+#: Written as these, digits are no part of a card.
+_OTHER = r"(?:[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9])"
 #: In the order in which they are tried at a place of the text.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": r"(?<![0-9A-Za-z_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z_]|\.[0-9])",
     "date": _L + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _R,
     "ssn": _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R,
-    "iban": _L + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _R,
-    "card": _L + r"(?:[0-9][ -]?){12,18}[0-9]" + _R,
-    "phone": r"(?:(?<![0-9A-Za-z_+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})|(?<![0-9A-Za-z_])(?:\([0-9]{3}\)|[0-9]{3}))[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}" + _R,
+    "iban": _L + f"(?:{_SPACED}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}})" + _R,
+    # five groups of four are a card and a number before or behind it
+    "card": _L + f"(?!{_OTHER})(?:[0-9]{{4}}(?:[ -][0-9]{{4}}){{4}}(?![ -]?[0-9])|(?:[0-9](?:[ -](?!{_OTHER}))?){{12,18}}[0-9])" + _R,
+    "phone": r"(?:(?<![0-9A-Za-z_+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})|(?<![0-9A-Za-z_])(?:\([0-9]{3}\)|[0-9]{3}))[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}" + _R
+    + r"|(?<![0-9A-Za-z_+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]){6,12}" + _R,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: No text without one of these holds a value.
@@ -125,12 +136,29 @@ def _card(s: Column, key: str) -> Column:
         check = (10 - bind(_digits(F.concat(t, F.lit("0"))), luhn_sum) % 10) % 10
         return F.concat(t, check.cast("string"))
 
-    return F.when(luhn_valid(s), bind(permuted_text(F.substring(s, F.lit(1), F.length(s) - 1), "card", key), make)).otherwise(s)
+    def spell(c: Column) -> Column:
+        return bind(permuted_text(F.substring(c, F.lit(1), F.length(c) - 1), "card", key), make)
+
+    def part(groups: Column) -> Column:
+        """The card among the groups of digits, the longest run first; what stands before and behind it stays."""
+        number = F.sequence(F.lit(0), F.size(groups) - 1)
+        length = lambda n: F.aggregate(F.slice(groups, 1, n), F.lit(0), lambda a, g: a + F.length(g) + 1)
+        run = lambda i, j: F.struct(
+            (length(i) - length(j + 1)).alias("less"), length(i).alias("at"), F.substring(s, length(i) + 1, length(j + 1) - length(i) - 1).alias("c")
+        )
+        runs = F.flatten(F.transform(number, lambda i: F.transform(F.filter(number, lambda j: j >= i), lambda j: run(i, j))))
+        valid = F.array_sort(F.filter(runs, lambda r: luhn_valid(r["c"])))
+        put = lambda r: F.concat(F.substring(s, F.lit(1), r["at"]), spell(r["c"]), F.substring(s, r["at"] + F.length(r["c"]) + 1, F.length(s)))
+        return F.when(F.size(valid) > 0, bind(F.get(valid, F.lit(0)), put)).otherwise(s)
+
+    whole = luhn_valid(s)
+    return F.when(whole, spell(s)).when(s.rlike("[ -]"), bind(F.split(s, "[ -]"), part)).otherwise(s)
 
 
 def mod97(s: Column) -> Column:
     """The number that an IBAN spells, its first four characters moved to the end, mod 97."""
-    turned = F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))
+    solid = F.replace(s, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(solid, F.lit(5), F.length(solid)), F.substring(solid, 1, 4))
     step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
     return F.aggregate(_chars(turned), F.lit(0), step)
 

@@ -74,6 +74,26 @@ def test_pseudonyms_keep_their_format(spark):
     assert again != got[0]["text"]
 
 
+def test_common_spellings_are_found(spark):
+    luhn = lambda t: sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(re.sub(r"\D", "", t)))) % 10 == 0
+    texts = [
+        "GB82 WEST 1234 5698 7654 32 and", "AT61 1904 3002 3457 3201 2024", "GB82WEST12345698765432", "call +14155552671.", "call +33 1 23 45 67 89!", "4111 1111 1111 1111 12/27",
+        "4111-1111-1111-1111 123", "12 4111 1111 1111 1111", "2024 4111 1111 1111 1111", "3782 822463 10005 999", "4111 1111 1111 1111 5500 0000 0000 0004", "4111 1111 1111 1111 1985-03-12",
+        "4111 1111 1111 1111 212-555-1234", "212-555-1234 4111 1111 1111 1111",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r for r in pii.pseudonymize(df, "k").orderBy("doc_id").collect()]
+    new = [r["text"] for r in got]
+    kinds = [["iban"]] * 3 + [["phone"]] * 2 + [["card"]] * 5 + [["card"] * 2, ["card", "date"], ["card", "phone"], ["phone", "card"]]
+    assert [r["pii"] for r in got] == kinds
+    shape = lambda t: re.sub("[A-Z]", "A", re.sub("[0-9]", "9", t))
+    assert [shape(t) for t in new] == [shape(t) for t in texts]
+    assert new[0].replace(" ", "") == new[2] + "and" and new[1].endswith(" 2024") and new[3].startswith("call +1") and new[4].startswith("call +33 ")
+    assert new[5].endswith(" 12/27") and new[6].endswith(" 123") and new[7].startswith("12 ") and new[8].startswith("2024 ") and new[9].endswith(" 999")
+    card = new[5][:19]
+    assert luhn(card) and new[6][:19] == card.replace(" ", "-") and new[7][3:] == new[8][5:] == card and luhn(new[9][:17]) and luhn(new[10][20:])
+
+
 # --- op2 ---------------------------------------------------------------------------------
 
 
