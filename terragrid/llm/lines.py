@@ -11,7 +11,7 @@ of ``GRAM`` lines or more that match there are deleted, the earliest place stays
 Earlier means a smaller doc_id, or a smaller position in the same document.
 
 Defined results: a null text stays null and has no lines; documents of fewer
-lines than ``GRAM`` lose nothing; lines without a word are not counted and stay;
+lines than ``GRAM`` lose nothing (with ``gram=1`` every repeated line goes); lines without a word are not counted and stay;
 null ids neither delete nor lose lines; rows with one id and different texts are
 ordered by a hash of the text, rows equal in both lose the same lines; other
 columns pass through; an empty table gives an empty table.
@@ -28,7 +28,7 @@ from terragrid.plans.sizing import stage
 #: Shortest run of lines that is deleted.
 GRAM = 3
 #: Run hashes of which one is selected.
-WINDOW = 2
+WINDOW = 1
 WORDY = r"[^\x20\x09-\x0D]"
 
 

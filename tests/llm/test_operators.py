@@ -458,6 +458,26 @@ def test_later_runs_go_and_first_ones_stay(spark):
     assert got[6] == (None, 0) and got[7] == ("", 0) and got[None] == ("\n".join(run), 0) and got[5][0].endswith("z") and got[5][1] >= 3
 
 
+@pytest.mark.parametrize("gram", [3, 1])
+def test_every_repeated_run_of_lines_goes(spark, texts, gram):
+    """Runs of exactly ``gram`` lines as well; with one line, copies of one- and two-line documents and shared long lines."""
+    long_line = " ".join(f"word{i}" for i in range(50))
+    rows = dict(texts) | {10**6: "one line here", 10**6 + 1: "one line here", 10**6 + 2: "first of two\nsecond of two", 10**6 + 3: "first of two\nsecond of two"}
+    rows |= {10**6 + 4: "before\n" + long_line, 10**6 + 5: long_line + "\nafter", 10**6 + 6: "a b\nc d\ne f\nown g", 10**6 + 7: "own h\na b\nc d\ne f"}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in lines.remove_repeated_lines(df, gram=gram).collect()}
+    seen, want = set(), {}
+    for i in sorted(rows):
+        own, gone = [x for _, x in _lines(rows[i])], set()
+        for p in range(len(own) - gram + 1):
+            if tuple(own[p : p + gram]) in seen:
+                gone |= set(range(p, p + gram))
+            seen.add(tuple(own[p : p + gram]))
+        want[i] = len(gone)
+    print(gram, sum(got.values()), sum(want.values()))
+    assert got == want and want[10**6 + 7] == 3 and (gram > 1 or [want[10**6 + k] for k in (1, 3, 5)] == [1, 2, 1])
+
+
 def test_lines_odd_rows(odd, empty):
     assert lines.remove_repeated_lines(odd).count() == odd.count() and lines.remove_repeated_lines(empty).count() == 0
 
