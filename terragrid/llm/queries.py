@@ -61,6 +61,42 @@ _OP6_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, REGEXP_EXTRACT_ALL(TRANSLATE(
       SELECT e.b, MIN(k.root) FROM walk k JOIN e ON e.a = k.doc_id JOIN recurring.walk r ON r.doc_id = e.b WHERE k.root < r.root GROUP BY 1)
     SELECT w.doc_id, COALESCE(n, 0) AS n_shingles, root AS component_id FROM w LEFT JOIN z ON z.doc_id = w.doc_id JOIN walk ON walk.doc_id = w.doc_id"""
 
+#: The edits of the last row first; an array for each of the four states holds cost and letters.
+_OP13_SQL = r"""WITH RECURSIVE src AS (SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+      xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(COALESCE(conv_id::VARCHAR, ' ') || ':' || COALESCE(turn::VARCHAR, ' '), ''), lambda ch: ord(ch)::BIGINT)),
+        lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295) % 20 AS how FROM conversations),
+    dam AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN TRANSLATE(text, '.!?', '') ELSE text END AS text
+            FROM src, UNNEST(RANGE(CASE how WHEN 3 THEN 2 ELSE 1 END)) AS r(c) WHERE how <> 0),
+    pos AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, role[1] AS ini, RTRIM(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))[-1] AS last FROM dam),
+    f AS (SELECT *, CASE WHEN last = '' THEN 1 WHEN ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN last IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault,
+            LEAD(ini) OVER (PARTITION BY conv_id ORDER BY i) AS nxt, COUNT(*) OVER (PARTITION BY conv_id) AS n FROM pos),
+    -- states: 0 nothing yet, 1 after s, 2 after u, 3 after a; c0..c3 costs from here, a0..a3 letters
+    walk AS (
+      SELECT conv_id, n + 1 AS i, 0 AS c0, 6 AS c1, 3 AS c2, 0 AS c3, '' AS a0, 'II' AS a1, 'I' AS a2, '' AS a3 FROM f WHERE i = n
+      UNION ALL
+      SELECT conv_id, i, z[1].c, z[2].c, z[3].c, z[4].c, z[1].a, z[2].a, z[3].a, z[4].a FROM (
+        SELECT conv_id, i, [list_min([b[1], {'c': 3 + y[1].c, 'a': 'I' || y[1].a}]), list_min([b[2], {'c': 3 + y[1].c, 'a': 'I' || y[1].a}]), y[1], y[2]] AS z FROM (
+          SELECT conv_id, i, b, [list_min([b[3], {'c': 3 + b[4].c, 'a': 'I' || b[4].a}]), list_min([b[4], {'c': 3 + b[3].c, 'a': 'I' || b[3].a}])] AS y FROM (
+            SELECT conv_id, i, list_transform([
+              [{'c': 4 + c0, 'a': 'D' || a0}, {'c': k + c1, 'a': CASE WHEN ini = 's' THEN 'K' END || a1}, {'c': k + c2, 'a': CASE WHEN ini = 'u' THEN 'K' END || a2}, {'c': k + 3 + c2, 'a': 'R' || a2}, {'c': k + c0, 'a': CASE WHEN ini = '' THEN 'K' END || a0}],
+              [{'c': 4 + c1, 'a': 'D' || a1}, {'c': k + c2, 'a': CASE WHEN ini = 'u' THEN 'K' END || a2}, {'c': k + 3 + c2, 'a': 'R' || a2}, {'c': k + c1, 'a': CASE WHEN ini = '' THEN 'K' END || a1}],
+              [{'c': 4 + c2, 'a': 'D' || a2}, {'c': k + c3, 'a': CASE WHEN ini = 'a' THEN 'K' END || a3}, {'c': k + 3 + c3, 'a': 'R' || a3}, {'c': k + c2, 'a': CASE WHEN ini = '' THEN 'K' END || a2}],
+              [{'c': 4 + c3, 'a': 'D' || a3}, {'c': k + c2, 'a': CASE WHEN ini = 'u' THEN 'K' END || a2}, {'c': k + 3 + c2, 'a': 'R' || a2}, {'c': k + c3, 'a': CASE WHEN ini = '' THEN 'K' END || a3}]],
+              lambda o: list_min(list_filter(o, lambda e: e.c IS NOT NULL AND e.a IS NOT NULL))) AS b
+            FROM (SELECT w.conv_id, g.i, ini, CASE g.fault WHEN 3 THEN 3 WHEN 0 THEN 0 END AS k, c0, c1, c2, c3, a0, a1, a2, a3 FROM walk w JOIN f g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i - 1))))),
+    best AS (SELECT conv_id, c0 AS cost, a0 AS audit FROM walk WHERE i = 1),
+    letters AS (SELECT conv_id, p, audit[p] AS l, LEN(REPLACE(audit[1:p], 'I', '')) AS i, audit FROM best, UNNEST(RANGE(1, LEN(audit) + 1)) AS r(p)),
+    out AS (SELECT l.conv_id, l.p, l.l, CASE WHEN l.l = 'I' THEN '' ELSE f.text END AS text, CASE WHEN l.l = 'K' THEN f.role END AS own,
+              SUM(CASE WHEN l.l = 'K' AND f.ini IN ('s', '') THEN 0 ELSE 1 END) OVER (PARTITION BY l.conv_id ORDER BY l.p) AS ua
+            FROM letters l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i AND l.l <> 'I' WHERE l.l <> 'D'),
+    hashes AS (SELECT conv_id, STRING_AGG(COALESCE(own, CASE WHEN ua % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY p) AS body FROM out GROUP BY 1),
+    stats AS (SELECT conv_id, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (fault = 1) AS blank, COUNT(*) FILTER (fault = 2) AS duplicate,
+              COUNT(*) FILTER (fault = 3) AS truncated, COUNT(*) FILTER (nxt IS NOT NULL AND ini || nxt NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+    SELECT o.conv_id, COALESCE(gaps, 0)::BIGINT AS gaps, COALESCE(blank, 0)::BIGINT AS blank, COALESCE(duplicate, 0)::BIGINT AS duplicate, COALESCE(truncated, 0)::BIGINT AS truncated,
+      COALESCE(illegal, 0)::BIGINT AS illegal, COALESCE(b.cost, 0)::BIGINT AS cost, COALESCE(b.audit, '') AS audit, SHA256(COALESCE(h.body, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+      LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN hashes h ON h.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
 
 @query("op2_mix_sources")
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,3 +181,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terragrid.llm.decontam import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_conversation_repair", _OP13_SQL)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terragrid.llm.dialogue import structure_report
+
+    return structure_report(table(spark, sf_dir, "conversations"))
