@@ -97,6 +97,19 @@ _OP13_SQL = r"""WITH RECURSIVE src AS (SELECT conv_id, turn, COALESCE(role, ' ')
     FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
       LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN hashes h ON h.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
+_OP12_SQL = r"""WITH piece AS (SELECT lang, REGEXP_EXTRACT_ALL(p, '[^\x20\x09]+') AS ws FROM (
+      SELECT COALESCE(lang, 'und') AS lang, UNNEST(REGEXP_SPLIT_TO_ARRAY(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+    g AS (SELECT lang, k, ARRAY_TO_STRING(ws[i:i + k - 1], ' ') AS p FROM piece, UNNEST(RANGE(1, 4)) AS m(k), UNNEST(RANGE(1, LEN(ws) - k + 2)) AS r(i)),
+    f AS (SELECT lang, k, p, COUNT(*) AS a FROM g GROUP BY ALL),
+    sizes AS (SELECT lang, SUM(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+    c AS (SELECT lang, k, p, a, STRING_SPLIT(p, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+    cuts AS (SELECT c.lang, c.k, c.p, c.a, q AS cut, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+      FROM c, UNNEST(RANGE(1, c.k)) AS u(q) JOIN f x ON x.lang = c.lang AND x.p = ARRAY_TO_STRING(c.w[1:q], ' ') JOIN f y ON y.lang = c.lang AND y.p = ARRAY_TO_STRING(c.w[q + 1:], ' ')),
+    low AS (SELECT * FROM cuts QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+    over AS (SELECT DISTINCT s.lang, s.p FROM c t, UNNEST([ARRAY_TO_STRING(t.w[1:2], ' '), ARRAY_TO_STRING(t.w[2:3], ' ')]) AS u(q) JOIN c s ON s.lang = t.lang AND s.p = q WHERE t.k = 3 AND 100 * t.a >= 50 * s.a)
+    SELECT lang, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score
+    FROM low JOIN sizes USING (lang) ANTI JOIN over USING (lang, p) QUALIFY rank <= 2000"""
+
 
 @query("op2_mix_sources")
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,3 +201,10 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terragrid.llm.dialogue import structure_report
 
     return structure_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_collocations", _OP12_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terragrid.llm.phrases import best_collocations
+
+    return best_collocations(table(spark, sf_dir, "documents"))
