@@ -208,3 +208,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terragrid.llm.phrases import best_collocations
 
     return best_collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op11_lm_scores")
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terragrid.llm.bitmix import corpus_scores
+
+    return corpus_scores(table(spark, sf_dir, "documents"))
