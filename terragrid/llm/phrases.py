@@ -38,7 +38,7 @@ from terragrid.llm.vectors import Words, chunks, run_hashes
 from terragrid.plans.sizing import stage, staged_rows
 
 #: Bytes of text whose stripes are merged before they travel.
-CHUNK = 6 << 20
+CHUNK = 3 << 20
 #: A prefix with one in so many words is hot; its stripes go to so many tasks.
 HOT_SHARE, SPLITS = 1000, 32
 #: Texts, at most, and bytes of each that tell the hot words; results do not depend on them.
@@ -51,7 +51,8 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 GAPS = b" \t"
 _to_gap = bytes.maketrans(PIECE_ENDS, b"\n" * len(PIECE_ENDS))
 
-STRIPES = "lang string, prefix string, split int, nexts array<string>, counts array<bigint>"
+#: Next words are joined by spaces (the end of a piece is an empty one); counts are 32-bit numbers, absent where all are one.
+STRIPES = "lang string, prefix string, split int, nexts string, counts binary"
 
 
 class Pieces(Words):
@@ -140,12 +141,16 @@ def _batches(stripes: _Stripes, langs: list[str], texts: list[bytes | None]) ->
     for lo in range(0, len(rows), 50_000):
         some = rows[lo : lo + 50_000]
         take = [np.arange(*at) if isinstance(at, tuple) else at for *_, at in some]
-        flat = pa.array(np.concatenate(take))
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in take])]), pa.int32())
+        flat = np.concatenate(take)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in take])])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), stripes.nexts.take(pa.array(flat)))
+        counts = stripes.count[flat].astype("<u4")
+        more = np.maximum.reduceat(counts, offsets[:-1]) > 1
+        data, bounds = counts.tobytes(), (4 * offsets).tolist()
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in some], pa.string()), pa.array([r[1] for r in some], pa.string()), pa.array([r[2] for r in some], pa.int32()),
-                pa.ListArray.from_arrays(offsets, stripes.nexts.take(flat)), pa.ListArray.from_arrays(offsets, pa.array(stripes.count).take(flat)),
+                pc.binary_join(lists, " "), pa.array([data[x:y] if m else None for x, y, m in zip(bounds, bounds[1:], more.tolist(), strict=False)], pa.binary()),
             ],
             names=["lang", "prefix", "split", "nexts", "counts"],
         )
@@ -185,11 +190,12 @@ def merged(parts: DataFrame, least: int) -> DataFrame:
 
     def folded(table: pa.Table, sums: Counter) -> Iterator[pa.RecordBatch]:
         """Of whole stripes: all rows of each prefix and split are in ``table``."""
-        parents = pc.list_parent_indices(table["nexts"])
-        flat = pa.table({
-            "lang": table["lang"].take(parents), "prefix": table["prefix"].take(parents), "split": table["split"].take(parents),
-            "next": pc.list_flatten(table["nexts"]), "n": pc.list_flatten(table["counts"]),
-        })
+        nexts = pc.split_pattern(table["nexts"].combine_chunks(), " ")
+        parents, sizes = pc.list_parent_indices(nexts), pc.list_value_length(nexts).to_numpy(zero_copy_only=False)
+        counts = np.ones(len(parents), np.int64)
+        more = pc.is_valid(table["counts"]).to_numpy()
+        counts[np.repeat(more, sizes)] = np.frombuffer(b"".join(table["counts"].drop_null().to_pylist()), "<u4")
+        flat = pa.table({**{c: table[c].take(parents) for c in ("lang", "prefix", "split")}, "next": pc.list_flatten(nexts), "n": pa.array(counts)})
         each = flat.group_by(["lang", "prefix", "split", "next"], use_threads=False).aggregate([("n", "sum")])
         total = each.group_by(["lang", "prefix", "split"], use_threads=False).aggregate([("n_sum", "sum")])
         for lang, n in zip(*(total.group_by("lang", use_threads=False).aggregate([("n_sum_sum", "sum")])[c].to_pylist() for c in ("lang", "n_sum_sum_sum")), strict=True):
@@ -208,7 +214,7 @@ def merged(parts: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
-            if size < 16 << 20:
+            if size < 4 << 20:
                 continue
             table = pa.Table.from_batches(held)
             last = table.slice(len(table) - 1).to_pylist()[0]
