@@ -28,6 +28,8 @@ from terragrid.operators.overlay import (
     pixel_mapping,
     synthetic_raster,
 )
+from terragrid.operators.growth import grow_regions_matched
+from terragrid.operators.halo import majority, neighbor_votes_blocks, stencil, with_halo
 from terragrid.operators.region import (
     components,
     fill_region,
@@ -58,6 +60,7 @@ from terragrid.operators.registry import (
 )
 from terragrid.operators.render import class_colors, cluster_colors, composite_colors, export_colors, render_image
 from terragrid.operators.resample import clip, coarsen, filter_collection, merge_first, reproject, target_grid
+from terragrid.operators.store import pack_blocks, pyramid, read_store, sample_points_stored, write_store, zonal_intersection_stored
 from terragrid.operators.tiles import (
     audit_summary,
     drop_bad_tiles,

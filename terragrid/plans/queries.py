@@ -13,7 +13,7 @@ from terragrid.functions import color as C
 from terragrid.functions import geo as G
 from terragrid.functions import ids as I
 from terragrid.functions import paths as P
-from terragrid.operators import blocks, cluster, detect, hierarchy, labels, overlay, region, registry, render, resample, tiles, zonal
+from terragrid.operators import blocks, cluster, detect, growth, halo, hierarchy, labels, overlay, region, registry, render, resample, store, tiles, zonal
 from terragrid.plans import fixtures as fx
 from terragrid.plans.oracles import sql
 from terragrid.plans.sizing import scratch_dir, stage
@@ -1813,3 +1813,76 @@ def _(spark, sf):
     folder = f"{scratch_dir(spark)}/rasters-{uuid.uuid4().hex}"
     tables.write_rasters(fx.pixels(spark, sf), folder)
     return tables.read_rasters(spark, folder, ["k5", "k20"], (3, 5, 200, 40))
+
+
+# --- blocks: growth with a match function, halos, store, summaries ------------------------------------
+
+_BLOCK = 8
+_LEVELS = 3
+
+
+def _packed(spark, sf):
+    return store.pack_blocks(fx.pixels(spark, sf), _BLOCK)
+
+
+def _stored(spark, sf) -> str:
+    """The rasters as a store of 24 files."""
+    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}"
+    store.write_store(_packed(spark, sf), path, 24)
+    return path
+
+
+@query(
+    "grow_regions_matched",
+    sql(
+        f"""WITH {_SEED_SQL}, o AS ({_OFFS8}), v AS (SELECT s.region_id, s.raster_key, p.y, p.x, p.value AS seed FROM s JOIN pixels p ON p.raster_key = s.raster_key AND p.y = s.y AND p.x = s.x),
+        grown(region_id, raster_key, y, x, seed) AS (
+          SELECT * FROM v
+          UNION
+          SELECT g.region_id, g.raster_key, p.y, p.x, g.seed FROM grown g CROSS JOIN o JOIN pixels p ON p.raster_key = g.raster_key AND p.y = g.y + o.dy AND p.x = g.x + o.dx AND ABS(p.value - g.seed) <= 1)
+        SELECT region_id, raster_key, y, x FROM grown""",
+        "pixels", recursive=True,
+    ),
+)
+def _(spark, sf):
+    """Values that differ from the seed's by one at most, over blocks of 16."""
+    return growth.grow_regions_matched(_seeds(spark, sf), fx.pixels(spark, sf), lambda seed, v: F.abs(v - seed) <= 1, block=16)
+
+
+@query("neighbor_votes_blocks", ORACLES["neighbor_votes"])
+def _(spark, sf):
+    padded = halo.with_halo(_packed(spark, sf), _BLOCK)
+    return halo.neighbor_votes_blocks(_feature_regions(spark, sf), padded, stage(fx.registry(spark, sf), "registry"), _BLOCK)
+
+
+@query(
+    "majority_filter",
+    sql(
+        f"""WITH o AS ({_OFFS8} UNION ALL SELECT 0, 0), t AS (SELECT p.raster_key, p.y, p.x, n.value, COUNT(*) AS n FROM pixels p CROSS JOIN o
+              JOIN pixels n ON n.raster_key = p.raster_key AND n.y = p.y + o.dy AND n.x = p.x + o.dx WHERE p.value <> -1 AND n.value <> -1 GROUP BY ALL)
+            SELECT raster_key, y, x, value FROM t QUALIFY ROW_NUMBER() OVER (PARTITION BY raster_key, y, x ORDER BY n DESC, value) = 1
+            UNION ALL SELECT raster_key, y, x, value FROM pixels WHERE value = -1""",
+        "pixels",
+    ),
+)
+def _(spark, sf):
+    smooth = halo.majority(halo.with_halo(_packed(spark, sf), _BLOCK), _BLOCK)
+    return blocks.pixels_from_blocks(smooth, _BLOCK).filter("value IS NOT NULL")
+
+
+@query("sample_points_stored", ORACLES["sample_points"])
+def _(spark, sf):
+    return store.sample_points_stored(fx.points(spark, sf), fx.raster_meta(spark, sf), fx.registry(spark, sf), _stored(spark, sf), _BLOCK)
+
+
+@query("block_pyramid", sql(f"""SELECT level, raster_key, CAST(FLOOR(y / ({_BLOCK} * side)) AS INT) AS by, CAST(FLOOR(x / ({_BLOCK} * side)) AS INT) AS bx, value, COUNT(*) AS n
+    FROM pixels CROSS JOIN (SELECT 0 AS level, 1 AS side UNION ALL SELECT 1, 2 UNION ALL SELECT 2, 4) WHERE value <> -1 GROUP BY ALL""", "pixels"))
+def _(spark, sf):
+    return store.pyramid(_packed(spark, sf), _LEVELS)
+
+
+@query("zonal_intersection_stored", ORACLES["zonal_intersection"])
+def _(spark, sf):
+    """The pyramid stands on blocks of two here, for the polygons of the tables are small."""
+    packed = stage(store.pack_blocks(fx.pixels(spark, sf), 2), "blocks")
+    return store.zonal_intersection_stored(fx.features(spark, sf), fx.raster_meta(spark, sf), store.pyramid(packed, _LEVELS), lambda wanted: packed.join(wanted, store.PLACE, "left_semi"), 2, _LEVELS)
