@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from terragrid.llm.text import free_name
+from terragrid.llm.vectors import chunks
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -166,8 +167,6 @@ def labelled_sample(docs: DataFrame, learnable: Column, most: int = SAMPLE_ROWS)
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``lang_pred, score, accepted`` to ``docs``; reads the column ``text`` only."""
-    col = free_name(docs, "text_")
-    inner = docs.withColumn(col, F.col("text"))
     names = {c: free_name(docs, c) for c in ("lang_pred", "score", "accepted")}
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: buckets x languages
 
@@ -184,16 +183,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         return named, scores, kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            named, scores, kept = score(batch.column(col).to_pylist())
-            rest = [i for i, n in enumerate(batch.schema.names) if n != col]
+        for batch, texts in chunks(batches):
+            named, scores, kept = score([None if t is None else t.decode("utf-8", "replace") for t in texts])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in rest), pa.array(named, pa.string()), pa.array(scores, pa.float64()), pa.array(kept, pa.bool_())],
-                names=[*(batch.schema.names[i] for i in rest), *names.values()],
+                [*batch.columns, pa.array(named, pa.string()), pa.array(scores, pa.float64()), pa.array(kept, pa.bool_())],
+                names=[*batch.schema.names, *names.values()],
             )
 
     schema = StructType([*docs.schema.fields]).add(names["lang_pred"], "string").add(names["score"], "double").add(names["accepted"], "boolean")
-    return inner.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -81,7 +81,6 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -91,9 +90,14 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.spaced = np.array([t.startswith("\u0120") for t in names])  # how the vocabulary writes a space
-        self.uneven = re.compile(r" \s|\s ").search
+        white = [c for c in map(chr, range(0x3001)) if c.isspace()]
+        self.white = {False: white, True: [c for c in white if c.isascii()]}
         self.cache: dict[str, bytes] = {}
 
+    def uneven(self, text: str) -> bool:
+        """Whether white space stands beside a space; most texts hold few kinds of it, so a search for each is quick."""
+        return any(c in text and (" " + c in text or c + " " in text) for c in self.white[text.isascii()])
+
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(e.ids, self.dtype).tobytes()
@@ -130,12 +134,13 @@ class PieceEncoder:
             need.update(p[1:])
         need.difference_update(self.cache.keys() & need)
         fresh = list(need)
-        ids = self.cache.copy() if any(len(p) > LONGEST_CACHED for p in fresh) else self.cache
+        ids = self.cache
         ids.update(zip(fresh, self._encode_pieces(fresh), strict=True))
-        if ids is not self.cache:  # long pieces are not kept
-            self.cache.update((p, ids[p]) for p in fresh if len(p) <= LONGEST_CACHED)
         for (i, p), first in zip(pieces, firsts, strict=True):
             out[i] = first + b"".join(map(ids.__getitem__, p[1:]))
+        for p in fresh:
+            if len(p) > LONGEST_CACHED:  # long pieces are not kept
+                del ids[p]
         return out
 
 
