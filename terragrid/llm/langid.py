@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from terragrid.llm.text import free_name
-from terragrid.llm.vectors import chunks
+from terragrid.llm.vectors import chunks, small_batches
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -167,6 +167,7 @@ def labelled_sample(docs: DataFrame, learnable: Column, most: int = SAMPLE_ROWS)
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``lang_pred, score, accepted`` to ``docs``; reads the column ``text`` only."""
+    small_batches(docs.sparkSession)
     names = {c: free_name(docs, c) for c in ("lang_pred", "score", "accepted")}
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: buckets x languages
 

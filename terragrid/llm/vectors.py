@@ -99,6 +99,17 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+#: Bytes of an Arrow batch between Spark and a task's Python, unless the session names its own.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark) -> None:
+    """Bound the batches of whole texts by bytes: ten thousand rows of them can be hundreds of MB on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches with about ``most`` bytes of text each, and their texts as bytes."""
     for whole in batches:
