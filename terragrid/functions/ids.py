@@ -40,3 +40,8 @@ def k_of(key: Column) -> Column:
 def is_labeled(path: Column) -> Column:
     """False for null, empty and the sentinel path."""
     return F.coalesce((path != "") & (path != S.UNLABELED), F.lit(False))
+
+
+def outside_reserved(number: Column) -> Column:
+    """A running number as an id: those that would be reserved ones (9999 and above) move to ``COMPOSITE_START`` and beyond, in order."""
+    return F.when(number < S.UNLABELED_ID, number).otherwise(number + S.COMPOSITE_START)

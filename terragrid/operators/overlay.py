@@ -79,7 +79,7 @@ def composite_ids(registry: DataFrame, priority: str = "highest_k", inputs: Data
         order = [P.depth(F.col("classification_path")).desc()] + order
     labeled = labeled.select("raster_key", "cluster_id", "classification_path", "color", "prio")
     numbered = number_rows(labeled, order, "uid", start=1)
-    return numbered.withColumn("uid", F.when(F.col("uid") < S.UNLABELED_ID, F.col("uid")).otherwise(F.col("uid") + S.COMPOSITE_START))
+    return numbered.withColumn("uid", I.outside_reserved(F.col("uid")))
 
 
 def composite(
@@ -231,11 +231,11 @@ def _mapping_of(shown: DataFrame) -> DataFrame:
     distinct = stage(shown.select("path").distinct(), "classes")
     ids = number_rows(distinct.filter(F.col("path") != S.UNLABELED), ["path"], "id")
     rest = distinct.filter(F.col("path") == S.UNLABELED).select("path", F.lit(S.UNLABELED_ID).alias("id"))
-    return ids.select("path", "id").unionByName(rest)
+    return ids.select("path", I.outside_reserved(F.col("id")).alias("id")).unionByName(rest)
 
 
 def pixel_mapping(seg: S.SegmentedRaster, level: int | None = None, colors: DataFrame | None = None) -> DataFrame:
-    """Export ids: sorted class paths 0..n-1, "unlabeled" 9999 if it occurs.
+    """Export ids: sorted class paths 0..n-1, "unlabeled" 9999 if it occurs; ids from 9999 on move beyond the reserved ones.
 
     Works on distinct clusters, never on pixels.
     """

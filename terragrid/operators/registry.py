@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terragrid import schema as S
 from terragrid.functions.color import DEFAULT_RGB, css_of
-from terragrid.functions.ids import is_labeled, k_of
+from terragrid.functions.ids import is_labeled, k_of, outside_reserved
 from terragrid.plans.sizing import Dim, number_rows, stage
 
 
@@ -201,7 +201,7 @@ def aggregate_by_key(
 ) -> S.SegmentedRaster:
     """Merge clusters that share ``key(cluster_id, path, color)``.
 
-    New ids count from 1 in row-major order of first appearance; path and colour
+    New ids count from 1 in row-major order of first appearance (past the reserved ids); path and colour
     come from the earliest cluster of the key that the registry knows.  The key
     depends on the cluster alone, so pixels are reduced to one row per cluster
     before any ranking.  ``source_id`` keeps the old id of every pixel.
@@ -224,7 +224,7 @@ def aggregate_by_key(
     groups = clusters.groupBy("raster_key", "_key").agg(
         F.min("_first").alias("_first"), F.sum("_n").alias("pixel_count"), F.min_by(info, at).alias("_info")
     )
-    groups = number_rows(groups, ["_first"], "_id", start=1, within=["raster_key"])
+    groups = number_rows(groups, ["_first"], "_id", start=1, within=["raster_key"]).withColumn("_id", outside_reserved(F.col("_id")))
     new_ids = clusters.select("raster_key", F.col("cluster_id").alias("value"), "_key").join(
         groups.select("raster_key", "_key", "_id"), ["raster_key", "_key"]
     )

@@ -270,3 +270,18 @@ def test_degenerate_rings(spark):
     long = spark.createDataFrame([(0.0, 1.0, 1.0, 1.0, 200, 1)], g.schema)
     got = {r["x"]: r["feature_id"] for r in zonal.rasterize(wide, long).collect()}
     assert got == {x: 6 if 60 <= x < 70 else 5 for x in range(200)}
+
+
+def test_class_and_group_ids_stay_outside_reserved_ones(spark):
+    """10,050 classes: none gets 9999, which means unlabelled, nor a synthetic id."""
+    n = 10_050
+    px = spark.range(n).select(F.lit("k1").alias("raster_key"), F.lit(0).alias("y"), F.col("id").cast("int").alias("x"), (F.col("id") + S.COMPOSITE_START // 2).cast("int").alias("value"))
+    reg = registry.build_registry(px, lambda c: (F.concat(F.lit("c"), F.lpad(c.cast("string"), 12, "0")), F.lit(None).cast("string")))
+    seg = S.SegmentedRaster(px, reg)
+    for ids, first in (
+        (sorted(r["id"] for r in overlay.pixel_mapping(seg).collect()), 0),
+        (sorted(r["cluster_id"] for r in registry.aggregate_by_key(seg, lambda c, path, color: path).registry.collect()), 1),
+    ):
+        want = list(range(first, first + n))
+        assert ids == [i if i < S.UNLABELED_ID else i + S.COMPOSITE_START for i in want]
+    assert overlay.classification_raster(seg).filter(F.col("class_id") == S.UNLABELED_ID).count() == 0
