@@ -11,6 +11,9 @@ Minimisers fall into ``BINS`` bins, counted over all documents first.  A bin tha
 holds more than its share (one passage in a large part of the corpus) goes
 another way: its windows are keyed by their whole text, reduced to the smallest
 id before the shuffle, and joined back, which splits over any number of tasks.
+Of these, at most ``HEAVY`` windows can make up more than one in ``HEAVY`` each; they
+and their smallest ids are a table of bounded size, so they are told where the
+text is read and make no row each in a join.
 
 Defined results: a null text has no words; a null id neither removes nor loses
 words; rows with equal ids are judged each for itself and never against each
@@ -35,7 +38,14 @@ MINIMISER = 3
 BINS = 1 << 16
 #: A bin with more than so many times the mean number of windows is split by window.
 HOT_BIN = 24
-#: Compression level (zstd) of the packed strings.
+#: Windows that make up more than one in so many of those in hot bins are told by a table in the task.
+HEAVY = 1 << 15
+#: Longer windows are in no such table, so that it holds ``HEAVY * HEAVY_BYTES`` bytes at most.
+HEAVY_BYTES = 1024
+#: Windows of a bucket in the mean, beyond ``LEAST_BUCKETS`` buckets.
+BUCKET_WINDOWS = 1 << 20
+LEAST_BUCKETS = 1024
+#: Compression level (zstd) of the packed strings and of texts that are shuffled.
 LEVEL = 3
 
 _PACK = struct.Struct("<I")
@@ -48,7 +58,7 @@ class SuperKmers:
         self.words = w = Words(texts)
         self.window = window
         if len(w) < window:
-            self.at = self.n = self.bin = np.zeros(0, np.int64)
+            self.at = self.n = self.bin = self.key = np.zeros(0, np.int64)
             return
         small = run_hashes(w.hashes(), m)
         view = np.lib.stride_tricks.sliding_window_view(small, window - m + 1)
@@ -59,10 +69,19 @@ class SuperKmers:
         new = np.ones(len(starts), bool)
         new[1:] = (place[starts[1:]] != place[starts[:-1]]) | (starts[1:] != starts[:-1] + 1)
         first = np.flatnonzero(new)
-        #: first word, number of windows, and bin of each run
+        #: first word, number of windows, bin, and other bits of the minimiser of each run
         self.at = starts[first]
         self.n = np.diff(np.concatenate([first, [len(starts)]]))
-        self.bin = (small[place[self.at]] & np.uint64(BINS - 1)).astype(np.int64)
+        least = small[place[self.at]]
+        self.bin = (least & np.uint64(BINS - 1)).astype(np.int64)
+        self.key = (least >> np.uint64(16)).astype(np.int64)
+
+    def windows_of(self, runs: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """First word and text of every window of some runs."""
+        n = self.n[runs]
+        at = np.repeat(self.at[runs], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        text, begins = self.words.packed()
+        return at, [text[a:b] for a, b in zip(begins[at].tolist(), (begins[at + self.window] - 1).tolist(), strict=True)]
 
 
 def bin_counts(docs: DataFrame) -> np.ndarray:
@@ -104,29 +123,55 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return *columns[:4], [body[e - k : e] for e, k in zip(ends.tolist(), columns[4].tolist(), strict=True)]
 
 
-def super_kmers(rows: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """``bucket, packed``: the runs of all texts outside the hot bins, a row per chunk and bucket."""
+def _told(k: SuperKmers, hot_runs: np.ndarray, ids: np.ndarray, heavy: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of windows of the stretches of heavy windows that a smaller id holds as well."""
+    at, made = k.windows_of(hot_runs)
+    none = np.iinfo(np.int64).max
+    first = np.fromiter((heavy.get(w, none) for w in made), np.int64, len(made))
+    at = at[first < ids[k.words.doc[at]]]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (k.words.doc[at[1:]] != k.words.doc[at[:-1]])
+    head = np.flatnonzero(new)
+    return at[head], np.diff(np.concatenate([head, [len(at)]]))
+
+
+def super_kmers(rows: DataFrame, hot: np.ndarray, buckets: int, heavy: dict[bytes, int]) -> DataFrame:
+    """``bucket, packed``: the runs of all texts outside the hot bins, a row per chunk and bucket.
+
+    Stretches of heavy windows are packed with no text; a negative bucket marks them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, most=3 << 20):
             k = SuperKmers(texts)
-            cold = np.flatnonzero(~hot[k.bin])
-            if not len(cold):
-                continue
-            bucket = k.bin[cold] % buckets
-            cold = cold[np.argsort(bucket, kind="stable")]
-            bucket = k.bin[cold] % buckets
-            text, begins = k.words.packed()
-            at, n = k.at[cold], k.n[cold]
-            lo, hi = begins[at].tolist(), (begins[at + n + k.window - 1] - 1).tolist()
-            parts = [text[a:b] for a, b in zip(lo, hi, strict=True)]
-            doc = k.words.doc[at]
-            ids, tags = batch.column("doc_id").to_numpy()[doc], batch.column("tag").to_numpy()[doc]
-            place, n = (at - k.words.first[doc]).astype(np.int32), n.astype(np.int32)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            packed = [_pack(parts[a:b], ids[a:b], tags[a:b], place[a:b], n[a:b]) for a, b in spans]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+            is_hot = hot[k.bin]
+            all_ids, all_tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
+            out_bucket, out = [], []
+            cold = np.flatnonzero(~is_hot)
+            if len(cold):
+                bucket = k.key[cold] % buckets
+                order = np.argsort(bucket, kind="stable")
+                cold, bucket = cold[order], bucket[order]
+                text, begins = k.words.packed()
+                at, n = k.at[cold], k.n[cold]
+                lo, hi = begins[at].tolist(), (begins[at + n + k.window - 1] - 1).tolist()
+                parts = [text[a:b] for a, b in zip(lo, hi, strict=True)]
+                doc = k.words.doc[at]
+                ids, tags = all_ids[doc], all_tags[doc]
+                place, n = (at - k.words.first[doc]).astype(np.int32), n.astype(np.int32)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+                spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+                out = [_pack(parts[a:b], ids[a:b], tags[a:b], place[a:b], n[a:b]) for a, b in spans]
+                out_bucket = bucket[cuts[:-1]].tolist()
+            if heavy and is_hot.any():
+                at, n = _told(k, np.flatnonzero(is_hot), all_ids, heavy)
+                if len(at):
+                    doc = k.words.doc[at]
+                    place = (at - k.words.first[doc]).astype(np.int32)
+                    out.append(_pack([b""] * len(at), all_ids[doc], all_tags[doc], place, n.astype(np.int32)))
+                    out_bucket.append(-1 - int(all_ids[doc[0]]) % buckets)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "packed"])
 
     return rows.mapInArrow(run, "bucket int, packed binary")
 
@@ -186,11 +231,19 @@ def _bucket_runs(packed: list[bytes], window: int = WINDOW) -> pa.RecordBatch:
 RUNS = "doc_id long, tag int, at int, n int"
 
 
+def _told_runs(packed: bytes) -> pa.RecordBatch:
+    ids, tags, place, n, _ = _unpack(packed)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tags), pa.array(place), pa.array(n)], names=["doc_id", "tag", "at", "n"])
+
+
 def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come ordered by bucket; one bucket is held at a time."""
     held, now = [], None
     for batch in batches:
         for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            if bucket < 0:  # these come before all buckets
+                yield _told_runs(packed)
+                continue
             if bucket != now and held:
                 yield _bucket_runs(held)
                 held = []
@@ -200,8 +253,8 @@ def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _bucket_runs(held)
 
 
-def _hot_windows(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``window, doc_id, tag, at`` of every window in the hot bins."""
+def _hot_windows(rows: DataFrame, hot: np.ndarray, heavy: dict[bytes, int]) -> DataFrame:
+    """``window, doc_id, tag, at`` of every window in the hot bins that is not told in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
@@ -209,10 +262,10 @@ def _hot_windows(rows: DataFrame, hot: np.ndarray) -> DataFrame:
             own = np.flatnonzero(hot[k.bin])
             if not len(own):
                 continue
-            n = k.n[own]
-            at = np.repeat(k.at[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            text, begins = k.words.packed()
-            made = [text[a:b] for a, b in zip(begins[at].tolist(), (begins[at + k.window] - 1).tolist(), strict=True)]
+            at, made = k.windows_of(own)
+            if heavy:
+                rest = [i for i, w in enumerate(made) if w not in heavy]
+                at, made = at[np.array(rest, np.int64)], [made[i] for i in rest]
             doc = k.words.doc[at]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -225,6 +278,12 @@ def _hot_windows(rows: DataFrame, hot: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "window binary, doc_id long, tag int, at int")
 
 
+def heavy_windows(first: DataFrame, total: int) -> dict[bytes, int]:
+    """Smallest id of the windows that occur more than ``total / HEAVY`` times: fewer than ``HEAVY`` of them."""
+    few = first.filter((F.col("n") > F.lit(total / HEAVY)) & (F.octet_length("window") <= HEAVY_BYTES))
+    return {bytes(r["window"]): r["first"] for r in few.select("window", "first").toLocalIterator()}
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """``doc_id, tag, at, n``: ``n`` windows from word ``at`` on that an earlier document holds.
 
@@ -236,23 +295,39 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     )
     counts = bin_counts(rows)
     hot = counts > max(1000.0, HOT_BIN * counts.sum() / BINS)
-    buckets = max(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cold = super_kmers(rows, hot, buckets).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_buckets, RUNS)
+    buckets = max(LEAST_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // BUCKET_WINDOWS)
+    heavy: dict[bytes, int] = {}
+    if hot.any():
+        seen = _hot_windows(rows, hot, heavy).groupBy("window").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+        first = stage(seen.filter("n > 1"), "windows")  # a window that occurs once is no repeat
+        heavy = heavy_windows(first, int(counts[hot].sum()))
+    cold = super_kmers(rows, hot, buckets, heavy).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_buckets, RUNS)
     if not hot.any():
         return cold
-    windows = _hot_windows(rows, hot)
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
-    later = windows.join(first, "window").filter(F.col("doc_id") > F.col("first"))
+    later = _hot_windows(rows, hot, heavy).join(first.drop("n"), "window").filter(F.col("doc_id") > F.col("first"))
     return cold.unionByName(later.select("doc_id", "tag", "at", F.lit(1).alias("n")))
 
 
+def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle."""
+    import zstandard
+
+    to = zstandard.ZstdCompressor(level=LEVEL)
+    for batch, texts in chunks(batches):
+        small = [None if t is None else to.compress(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(small, pa.binary())], names=["doc_id", "tag", "text"])
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             words, removed, kept = [], [], []
             for text, runs in zip(part.column("text").to_pylist(), part.column("runs").to_pylist(), strict=True):
-                own = text.encode().split() if text else []
+                own = plain.decompress(text).split() if text else []
                 gone = bytearray(len(own))
                 for run in runs or []:
                     a, b = run["at"], run["at"] + run["n"] + WINDOW - 1
@@ -271,6 +346,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     runs = stage(repeated_runs(docs), "runs")
     by_row = runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.hash("text").alias("tag"))
-    return rows.join(by_row, ["doc_id", "tag"], "left").select("doc_id", "text", "runs").mapInArrow(
+    small = rows.mapInArrow(_shrunk, "doc_id long, tag int, text binary")
+    return small.join(by_row, ["doc_id", "tag"], "left").select("doc_id", "text", "runs").mapInArrow(
         _apply, "doc_id long, n_words long, n_removed long, kept string"
     )

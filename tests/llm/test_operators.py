@@ -174,6 +174,20 @@ def test_substring_dedup(spark, texts, monkeypatch, hot):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of("op3_substring_dedup", spark)} == _removed(texts)
 
 
+@pytest.mark.parametrize("heavy", [1 << 14, 1 << 60])
+def test_substring_heavy_windows(spark, texts, monkeypatch, heavy):
+    """Some, then all, windows of hot bins that occur again are told by the table in the task."""
+    counts = substring.bin_counts
+    monkeypatch.setattr(substring, "HOT_BIN", 0.0)
+    monkeypatch.setattr(substring, "bin_counts", lambda rows: np.maximum(counts(rows), 1001))
+    monkeypatch.setattr(substring, "HEAVY", heavy * substring.BINS // 100)
+    told = []
+    table = substring.heavy_windows
+    monkeypatch.setattr(substring, "heavy_windows", lambda *a: told.append(table(*a)) or told[-1])
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of("op3_substring_dedup", spark)} == _removed(texts)
+    assert told[0]
+
+
 def test_substring_equal_hashes_are_compared():
     text = ["a", "b", "a", "b", "b"]
     same = lambda i, j: text[i] == text[j]
