@@ -42,6 +42,8 @@ HOT_BIN = 24
 HEAVY = 1 << 15
 #: Longer windows are in no such table, so that it holds ``HEAVY * HEAVY_BYTES`` bytes at most.
 HEAVY_BYTES = 1024
+#: Distinct windows of hot bins that a task sums up at once.
+HELD = 1 << 16
 #: Windows of a bucket in the mean, beyond ``LEAST_BUCKETS`` buckets.
 BUCKET_WINDOWS = 1 << 20
 LEAST_BUCKETS = 1024
@@ -253,6 +255,41 @@ def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _bucket_runs(held)
 
 
+def hot_window_counts(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """``window, first, n`` of the windows in the hot bins: smallest id and number.
+
+    A task sums up what it reads before it hands it on, ``HELD`` distinct windows at a time.
+    """
+
+    def batch_of(held: dict[bytes, list[int]]) -> pa.RecordBatch:
+        first, n = zip(*held.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["window", "first", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[int]] = {}
+        size = 0
+        for batch, texts in chunks(batches):
+            k = SuperKmers(texts)
+            at, made = k.windows_of(np.flatnonzero(hot[k.bin]))
+            ids = batch.column("doc_id").to_numpy()[k.words.doc[at]].tolist()
+            for w, i in zip(made, ids, strict=True):
+                known = held.get(w)
+                if known is None:
+                    held[w] = [i, 1]
+                    size += len(w)
+                else:
+                    known[0] = min(known[0], i)
+                    known[1] += 1
+            if len(held) >= HELD or size >= HELD * HEAVY_BYTES:
+                yield batch_of(held)
+                held, size = {}, 0
+        if held:
+            yield batch_of(held)
+
+    some = rows.mapInArrow(run, "window binary, first long, n long")
+    return some.groupBy("window").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+
+
 def _hot_windows(rows: DataFrame, hot: np.ndarray, heavy: dict[bytes, int]) -> DataFrame:
     """``window, doc_id, tag, at`` of every window in the hot bins that is not told in the task."""
 
@@ -298,8 +335,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     buckets = max(LEAST_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // BUCKET_WINDOWS)
     heavy: dict[bytes, int] = {}
     if hot.any():
-        seen = _hot_windows(rows, hot, heavy).groupBy("window").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        first = stage(seen.filter("n > 1"), "windows")  # a window that occurs once is no repeat
+        # a window that occurs once is no repeat
+        first = stage(hot_window_counts(rows, hot).filter("n > 1"), "windows")
         heavy = heavy_windows(first, int(counts[hot].sum()))
     cold = super_kmers(rows, hot, buckets, heavy).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_buckets, RUNS)
     if not hot.any():
