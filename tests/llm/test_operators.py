@@ -363,6 +363,12 @@ def test_components_of_a_long_chain(spark):
     assert {(r["node"], r["component"]) for r in got.collect()} == {(i, 0) for i in range(1, 301)} | {(1001, 1000)}
 
 
+def test_jaccard_distinct_tiles(spark):
+    rows = [(t, r) for t, rs in {1: [5, 6], 2: [6, 5], 3: [5, 6, 7], 4: [6, 7], 5: [9], 6: [5, 6, 7], 7: [5, 7]}.items() for r in rs]
+    got = jaccard.distinct_tiles(spark.createDataFrame(rows, "tile long, rep long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 5), (3, 5), (4, 6), (7, 5)]
+
+
 # --- op7 ---------------------------------------------------------------------------------
 
 
