@@ -133,24 +133,35 @@ def composite(
 
 
 def check_same_grid(meta_a: DataFrame, meta_b: DataFrame) -> None:
-    """Refuse to merge rasters of different size (one row of metadata each)."""
-    a, b = meta_a.select("width", "height").first(), meta_b.select("width", "height").first()
-    if a != b:
+    """Refuse to merge rasters of different size (metadata of one or more rasters each)."""
+    size = [F.col("width"), F.col("height")]
+    sizes = meta_a.select(*size).union(meta_b.select(*size)).distinct().take(2)
+    if len(sizes) > 1:
+        a, b = sorted(tuple(r) for r in sizes)
         raise ValueError(f"cannot merge rasters with different dimensions: {a} and {b}")
 
 
 def merge(
-    a: DataFrame, b: DataFrame, decide: Callable[[Column, Column, Column, Column], Column], key: str = "merged"
+    a: DataFrame,
+    b: DataFrame,
+    decide: Callable[[Column, Column, Column, Column], Column],
+    key: str = "merged",
+    metas: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Combine two rasters cell by cell with ``decide(a, b, y, x) -> Column``.
 
     Rasters of different extent are refused; a cell that one of them lacks is
-    nodata there.
+    nodata there.  With ``metas``, the metadata of both, sizes are read from it
+    and no pixel is scanned for them; otherwise the last row and column that
+    occur must be the same, so a raster without its last row needs ``metas``.
     """
-    last = lambda px, name: px.agg(F.struct(F.max("y"), F.max("x")).alias(name))
-    ends = last(a, "a").crossJoin(last(b, "b")).first()  # one row each
-    if tuple(ends["a"]) != tuple(ends["b"]):
-        raise ValueError(f"cannot merge rasters with different dimensions: {tuple(ends['a'])} and {tuple(ends['b'])}")
+    if metas is not None:
+        check_same_grid(*metas)
+    else:
+        last = lambda px, name: px.agg(F.struct(F.max("y"), F.max("x")).alias(name))
+        ends = last(a, "a").crossJoin(last(b, "b")).first()  # one row each
+        if tuple(ends["a"]) != tuple(ends["b"]):
+            raise ValueError(f"cannot merge rasters with different dimensions: {tuple(ends['a'])} and {tuple(ends['b'])}")
     none = F.lit(S.NODATA)
     left = a.select("y", "x", F.col("value").alias("_a"))
     right = b.select("y", "x", F.col("value").alias("_b"))
@@ -159,17 +170,19 @@ def merge(
     return both.select(F.lit(key).alias("raster_key"), "y", "x", value.cast("int").alias("value"))
 
 
-def interactive_pixels(composite_px: DataFrame, current_px: DataFrame) -> DataFrame:
+def interactive_pixels(
+    composite_px: DataFrame, current_px: DataFrame, metas: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """J4 first half: composite where labelled, else the current cluster + 50000.
 
-    Nodata on either side stays nodata.
+    Nodata on either side stays nodata.  ``metas`` as in ``merge``.
     """
 
     def decide(c: Column, v: Column, y: Column, x: Column) -> Column:
         free = F.when(v == S.NODATA, F.lit(S.NODATA)).otherwise(v + S.FINE_GRAIN_START)
         return F.when(c == S.NODATA, F.lit(S.NODATA)).when(c != S.UNLABELED_ID, c).otherwise(free)
 
-    return merge(composite_px, current_px, decide, S.INTERACTIVE_KEY)
+    return merge(composite_px, current_px, decide, S.INTERACTIVE_KEY, metas)
 
 
 def interactive_registry(composite_reg: DataFrame, current_reg: DataFrame) -> DataFrame:
@@ -197,9 +210,12 @@ def interactive(
 
     Clusters of the same class path become one; each unlabelled cluster stays
     on its own.  The merged pixels are staged once, because ids are assigned
-    from them and then written back to them.
+    from them and then written back to them.  Sizes are compared by metadata where
+    both rasters have it.
     """
-    merged = stage(interactive_pixels(composite_seg.pixels, current_seg.pixels), "interactive")
+    known = composite_seg.meta is not None and current_seg.meta is not None
+    metas = (composite_seg.meta, current_seg.meta) if known else None
+    merged = stage(interactive_pixels(composite_seg.pixels, current_seg.pixels, metas), "interactive")
     both = S.SegmentedRaster(merged, interactive_registry(composite_seg.registry, current_seg.registry))
 
     def key(cluster_id: Column, path: Column, color: Column) -> Column:

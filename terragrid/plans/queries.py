@@ -704,9 +704,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     px, meta = fx.pixels(spark, sf), fx.raster_meta(spark, sf)
-    overlay.check_same_grid(meta.filter("k = 5"), meta.filter("k = 20"))
+    metas = meta.filter("k = 5"), meta.filter("k = 20")
     decide = lambda a, b, y, x: F.when((a == -1) | ((x + y) % 4 == 0), b).otherwise(a * 100 + b)
-    return overlay.merge(px.filter("raster_key = 'k5'"), px.filter("raster_key = 'k20'"), decide).select("y", "x", "value")
+    return overlay.merge(px.filter("raster_key = 'k5'"), px.filter("raster_key = 'k20'"), decide, metas=metas).select("y", "x", "value")
 
 
 def _interactive(spark, sf):

@@ -243,6 +243,20 @@ def test_merge_refuses_other_sizes_and_fills_gaps(spark):
     assert back(overlay.merge(a, a.filter("NOT (y = 0 AND x = 1)"), plus)) == [[2, 1], [6, 8]]
 
 
+def test_merge_by_metadata_takes_a_raster_without_its_last_row(spark):
+    a = grid(spark, a=[[1, 2], [3, 4]])
+    plus = lambda u, v, y, x: u + v
+    size = spark.createDataFrame([(2, 2)], "width int, height int")
+    other = spark.createDataFrame([(2, 3)], "width int, height int")
+    assert back(overlay.merge(a, a.filter("y = 0"), plus, metas=(size, size))) == [[2, 4], [2, 3]]
+    with pytest.raises(ValueError, match="different dimensions"):
+        overlay.merge(a, a, plus, metas=(size, other))
+    reg = spark.createDataFrame([], S.REGISTRY)
+    top, now = S.SegmentedRaster(a.filter("y = 0"), reg, size), S.SegmentedRaster(a, reg, size)
+    merged = overlay.interactive_pixels(top.pixels, now.pixels, (top.meta, now.meta))
+    assert back(merged) == [[1, 2], [-1, -1]]
+
+
 def test_hierarchy_from_attributes(spark):
     feats = spark.createDataFrame(
         [(1, {"B": "Wet Land", "E": "Big  Lake"}), (2, {"B": "wet land", "E": None}), (3, {"B": "Dry", "E": "Sand"}), (4, {"B": "WET LAND", "E": "big lake"})],
