@@ -4,7 +4,8 @@ Text that people write falls into few tokens for its length; random strings
 fall into many.  A word of key-like characters is reported when its characters
 per token stand below ``CHARS_PER_TOKEN``, after digests of known lengths,
 UUIDs and identifiers (words joined by ``_``, ``-`` or ``.``, camel case, paths,
-plain numbers) are set aside.
+plain numbers) are set aside.  Letters that change case too often for camel case
+are judged by their tokens.
 
 Defined results: a null text is an empty one and has no spans; repeated rows
 are scanned alike; offsets count code points, ends are exclusive; spans are
@@ -30,6 +31,8 @@ DIGESTS = (32, 40, 56, 64, 96, 128)  # hex digits of md5, sha1, sha224, sha256,
 
 #: A word is judged by its tokens from this length on.
 SHORTEST = 20
+#: Letters that the parts of an identifier have on average; random letters in both cases have under three between changes of case.
+PART_LETTERS = 4
 #: English prose has about 4 characters a token, random base64 about 1.5.
 CHARS_PER_TOKEN = 2.2
 
@@ -41,6 +44,7 @@ _candidate = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
 _uuid = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _hex_only = re.compile(r"[0-9a-fA-F]+")
 _identifier = re.compile(r"[A-Za-z]+([_/-]+[A-Za-z]+)*[_/-]*[0-9]{0,4}")
+_part = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _spaced_number = re.compile(r"[0-9+/_=-]+")
 
 
@@ -86,7 +90,11 @@ def is_known(word: str) -> bool:
     """Digests, UUIDs, identifiers and numbers: random to a tokenizer, but no secret by themselves."""
     if _hex_only.fullmatch(word) and len(word) in DIGESTS or _uuid.fullmatch(word):
         return True
-    if _identifier.fullmatch(word) or _spaced_number.fullmatch(word):
+    if _identifier.fullmatch(word):
+        parts = _part.findall(word)
+        if sum(map(len, parts)) >= PART_LETTERS * len(parts):
+            return True
+    if _spaced_number.fullmatch(word):
         return True
     digits, upper, lower = (any(f(c) for c in word) for f in (str.isdigit, str.isupper, str.islower))
     return digits + upper + lower < 2
